@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks kept in a worker before it starts afresh, and characters encoded at a time.
-CHUNKS, STEP = 500_000, 1_000_000
+#: Chunks kept in a worker before it starts afresh, characters encoded at a time, new chunks in one call.
+CHUNKS, STEP, JOIN = 1_200_000, 1_000_000, 128
 FIRST, PLAIN = "\ud800", "\ud801"  # marks no text can hold
 CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
@@ -30,8 +30,8 @@ def kind(path: str) -> str:
         return "spaced"
     steps = pre.get("pretokenizers") or []
     if pre.get("type") == "Sequence" and steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
-        pattern = str(steps[0].get("pattern"))
-        if r"\s" in pattern and not re.search(r"(?<!\^)\\s", pattern):  # only in [^\s...]: no match holds white space
+        pattern = (steps[0].get("pattern") or {}).get("Regex", r"\s")
+        if r"[^\s" in pattern and not re.search(r"(?<!\[\^)\\s|\.|(?<!\[)\^|\\[A-Z]", pattern):  # no match holds white space
             return "bare"
     return "whole"
 
@@ -61,19 +61,34 @@ class Encoder:
         return piece[1:] if piece[0] == FIRST else piece if piece[0] == "\n" else " " + piece
 
     def _learn(self, pieces: set) -> None:
-        known, texts = [], []
+        """Ids of chunks not met before: many at a time in one call, told apart by the offsets of their tokens."""
+        known, texts, alone, rest = [], [], [], []
+        bare = self.kind == "bare"
         for p in pieces:
             if (t := self._raw(p)) is None:
                 self.code[p] = -1
-            else:
+            elif bare or p[0] < FIRST:
                 known.append(p)
                 texts.append(t)
-        for p, e in zip(known, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
+            else:
+                alone.append(p)
+                rest.append(t)
+        for at in range(0, len(known), JOIN * 64):
+            groups = [texts[i : i + JOIN] for i in range(at, min(at + JOIN * 64, len(known)), JOIN)]
+            done = self.tok.encode_batch([(" " if bare else "").join(g) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, done, strict=True):
+                starts = np.cumsum([0] + [len(t) + bare for t in g[:-1]])
+                first = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                self._add(np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(g)), e.ids)
+        self.code.update(zip(known, range(len(self.start) - len(known), len(self.start)), strict=True))
+        for p, e in zip(alone, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.code[p] = len(self.start)
-            self.start.append(len(self.flat))
-            self.count.append(len(ids))
-            self.flat.extend(ids)
+            self._add(np.array([len(e.ids)]), e.ids)
+
+    def _add(self, counts: np.ndarray, ids: list[int]) -> None:
+        self.start.frombytes((len(self.flat) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.count.frombytes(counts.astype(np.int64).tobytes())
+        self.flat.extend(ids)
 
     def _pieces(self, text: str) -> list:
         if self.kind == "bare":
