@@ -1,11 +1,19 @@
-"""The registered queries over the driver's tables, each with its SQL twin."""
+"""The registered queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from .registry import QUERIES, SQL
+
+
+def _load() -> None:
+    from . import kernels, metrics, models, outliers, patterns, series, tables  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(SQL)
