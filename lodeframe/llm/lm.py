@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, fold, parts
 
 MOD, HELD = 7, 2
-WORD_SHARE, ARC_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.5
-GROUP_TOKENS, FLUSH = 1_000_000, 400_000
+WORD_SHARE, ARC_SHARE, LEAST, DISCOUNT = 1e-4, 1e-6, 2, 0.5
+GROUP_TOKENS, FLUSH, FLUSH_CHARS = 1_000_000, 400_000, 40_000_000
 START = 0  # number of the begin-of-text context; 1 is the end token, words follow
 STOP = 1
 
@@ -67,14 +68,19 @@ def _count_grams(vocabulary: dict[bytes, int], base: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        get = vocabulary.get
+        get = ({w: i + 2 for w, i in vocabulary.items()} | {None: START + 2, False: STOP + 2}).get
         for b in batches:
-            for t in b.column(0):
-                w = np.array([START + 2, *(get(x, -1) + 2 for x in tokens(t.as_py())), STOP + 2], dtype=np.int64)
+            for at in range(0, b.num_rows, 256):
+                flat: list = []
+                for t in b.column(0)[at : at + 256].to_pylist():
+                    flat.append(None)
+                    flat += tokens(t)
+                    flat.append(False)
+                w = np.fromiter(map(get, flat, repeat(1)), np.int64, len(flat))  # 1: a word that isn't in the vocabulary
                 two, three = w[:-1] * base + w[1:], (w[:-2] * base + w[1:-1]) * base + w[2:]
-                known = w > 1  # 1 stands for a word that isn't in the vocabulary, 0 for none before
-                both = known[:-1] & known[1:]
-                held += [two[both], three[both[:-1] & known[2:]]]
+                known = w > 1
+                both = known[:-1] & known[1:] & (w[1:] != START + 2)
+                held += [two[both], three[both[:-1] & both[1:]]]
                 size += len(w)
                 if size > 4_000_000:
                     yield flush()
@@ -168,22 +174,30 @@ def build(words: dict[int, int], grams: dict[int, int], base: int, n: int, v: in
     return auto
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pid, word): the words of each group, each once; rows of a group lie together."""
-    now, seen = None, set()
+def _requests(common: frozenset[bytes]):
+    """(pid, word): the words of each group of texts in a task, each once, without the common ones."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now] * len(seen), pa.int64()), pa.array(list(seen), pa.binary())], ["pid", "word"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set] = {}
+        size = 0
 
-    for b in batches:
-        for pid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if pid != now:
-                if seen:
-                    yield out()
-                now, seen = pid, set()
-            seen.update(tokens(t.as_py()))
-    if seen:
-        yield out()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for pid, words in seen.items():
+                words -= common
+                yield pa.RecordBatch.from_arrays([pa.array([pid] * len(words), pa.int64()), pa.array(list(words), pa.binary())], ["pid", "word"])
+            seen.clear()
+
+        for b in batches:
+            for pid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py()
+                seen.setdefault(pid, set()).update(tokens(text))
+                size += len(text)
+                if size > FLUSH_CHARS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -214,12 +228,13 @@ def score(docs: DataFrame, mod: int = MOD, held: int = HELD, word_share: float =
     grams = training.mapInArrow(_count_grams(vocabulary, base), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= arcs)
     kept = {r["key"]: r["n"] for r in grams.collect()}  # at most 2 / arc_share
     auto = build({vocabulary[bytes(w)]: c for w, c in frequent}, kept, base, n, v, ends)
-    shared = sc.broadcast((auto, vocabulary))
+    shared = sc.broadcast((auto, vocabulary, {bytes(w): c for w, c in frequent}))
     total = n + v + 1
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        auto, vocabulary = shared.value
+        auto, vocabulary, common = shared.value
         known = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
+        known.update(common)
         known[None] = ends
         root = {w: math.log10((c + 1) / total) for w, c in known.items()}
         number = {w: vocabulary.get(w, -1) for w in known}
@@ -233,8 +248,12 @@ def score(docs: DataFrame, mod: int = MOD, held: int = HELD, word_share: float =
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
 
-    groups = parts(n, GROUP_TOKENS)
-    dealt = own.withColumn("pid", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("long"))
-    asked = dealt.select("pid", "text").repartition(groups, "pid").sortWithinPartitions("pid").mapInArrow(_requests, "pid long, word binary")
-    told = asked.join(counts.where(F.col("word").isNotNull()), "word", "left").select("pid", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # A group is part of a file split, so that a task that reads a split asks for each word once and no text is moved.
+    place = [F.input_file_name(), F.input_file_block_start()]
+    splits = max(1, own.select(*place).distinct().count())
+    within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts(n, GROUP_TOKENS * splits)))
+    dealt = own.withColumn("pid", F.xxhash64(*place, within))
+    asked = dealt.select("pid", "text").mapInArrow(_requests(frozenset(bytes(w) for w, _ in frequent)), "pid long, word binary")
+    rare = counts.where(F.col("word").isNotNull() & (F.col("n") < least))
+    told = asked.join(rare, "word", "left").select("pid", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return dealt.select("pid", "doc_id", "text", "held_out").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(run, SCORED)
