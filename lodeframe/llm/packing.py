@@ -31,9 +31,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
         enc = encoder(tokenizer)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                for doc, ids in zip(b.column(0)[at : at + 256].to_pylist(), enc.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
+                texts = [t or "" for t in b.column(1)[at : at + 256].to_pylist()]
+                for doc, ids in zip(b.column(0)[at : at + 256].to_pylist(), enc.encode(texts), strict=True):
                     raw, n = np.append(ids, np.uint32(end)).astype("<u4").tobytes(), len(ids) + 1
                     for s in range(0, n, window):
                         e = min(n, s + window)

@@ -129,8 +129,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, per_file:
 
         enc, filesystem, writer = encoder(tokenizer), None, None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
+            for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
+                ids, texts = b.column(0)[at : at + 256].to_pylist(), [t or "" for t in b.column(1)[at : at + 256].to_pylist()]
                 if writer is None:
                     filesystem, base = _fs(path)
                     filesystem.create_dir(base, recursive=True)
@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, per_file:
                     mine = f"{base}/.{uuid.uuid4().hex}"
                     out = filesystem.open_output_stream(mine)
                     writer = Writer(out)
-                for doc, found in zip(ids[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
+                for doc, found in zip(ids, enc.encode(texts), strict=True):
                     writer.add(doc, np.append(found, np.uint32(end)))
         if writer is not None:
             writer.close()

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept in a worker before it starts afresh, characters encoded at a time, new chunks in one call.
-CHUNKS, STEP, JOIN = 1_200_000, 1_000_000, 128
+CHUNKS, STEP, JOIN = 450_000, 1_000_000, 128
 FIRST, PLAIN = "\ud800", "\ud801"  # marks no text can hold
 CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
