@@ -108,7 +108,7 @@ def od_flag_counts(spark, sf):
 
 
 @query(f"""WITH {SCORES}, w AS (SELECT id, max(flag) FILTER (method = 'hbos') AS hbos, max(flag) FILTER (method = 'loda') AS loda, max(flag) FILTER (method = 'sq') AS sq FROM flags GROUP BY 1)
-  SELECT 'hbos' AS a, 'loda' AS b, round(corr(hbos, loda), 6) AS r FROM w UNION ALL SELECT 'hbos', 'sq', round(corr(hbos, sq), 6) FROM w UNION ALL SELECT 'loda', 'sq', round(corr(loda, sq), 6) FROM w""")
+  SELECT 'hbos' AS a, 'loda' AS b, round(CASE WHEN stddev_pop(hbos) * stddev_pop(loda) > 0 THEN corr(hbos, loda) END, 6) AS r FROM w UNION ALL SELECT 'hbos', 'sq', round(CASE WHEN stddev_pop(hbos) * stddev_pop(sq) > 0 THEN corr(hbos, sq) END, 6) FROM w UNION ALL SELECT 'loda', 'sq', round(CASE WHEN stddev_pop(loda) * stddev_pop(sq) > 0 THEN corr(loda, sq) END, 6) FROM w""")
 def od_flag_corr(spark, sf):
     return O.flag_correlation(_flags(spark, sf), "id", ["hbos", "loda", "sq"]).withColumn("r", F.round("r", 6))
 

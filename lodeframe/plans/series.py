@@ -39,9 +39,9 @@ FILLED = f"""{DAILY}, nb AS (SELECT *, last_value(x IGNORE NULLS) OVER p AS px,
 filled AS (SELECT user_id, t, x, coalesce(x, px + (nx - px) * (t - pt) / (nt - pt), px, nx) AS filled, coalesce(px, nx) AS carried FROM nb)"""
 
 
-@query(f"WITH {FILLED} SELECT user_id, t, x, round(filled, 6) AS filled, carried FROM filled")
+@query(f"WITH {FILLED} SELECT user_id, t, x, {R("filled", 6)} AS filled, carried FROM filled")
 def interpolate(spark, sf):
-    f = S.interpolate(daily(spark, sf), "user_id", "t", "x").withColumn("filled", F.round("filled", 6))
+    f = S.interpolate(daily(spark, sf), "user_id", "t", "x").withColumn("filled", near("filled", 6))
     return S.fill_edges(f, "user_id", "t", "x")
 
 

@@ -10,7 +10,7 @@ import pytest
 from lodeframe import plans
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
 
 
 @pytest.fixture(scope="module")
