@@ -292,3 +292,16 @@ def test_empty_tables(spark, run):
 
 def test_queries_are_registered():
     assert {"op3_mixing", "op4_quality_rules", "op6_packing", "op8_simhash", "op9_token_files"} <= set(queries.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    r = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    df = queries.queries()[name](spark, sf_dir).select(*names)
+    assert sorted(map(tuple, df.collect())) == sorted(r.fetchall())
