@@ -117,11 +117,9 @@ def knn_euclid(spark, sf):
     return _near(spark, sf).select("id", "rank", F.round("d", 6).alias("d"))
 
 
-@query(f"WITH {NEAR} SELECT id, round(sum(nl / d) / sum(1 / d), 5) AS p1 FROM near WHERE d > 0 GROUP BY 1 HAVING id NOT IN (SELECT id FROM near WHERE d = 0)")
+@query(f"WITH {NEAR} SELECT id, round(CASE WHEN min(d) = 0 THEN avg(nl) FILTER (d = 0) ELSE sum(nl / nullif(d, 0)) / sum(1 / nullif(d, 0)) END, 5) AS p1 FROM near GROUP BY 1")
 def knn_vote(spark, sf):
-    n = _near(spark, sf)
-    exact = n.where("d = 0").select("id").distinct()
-    return K.knn_vote(n, series(spark, sf), "id", "label").join(exact, "id", "left_anti").withColumn("p1", F.round("p1", 5))
+    return K.knn_vote(_near(spark, sf), series(spark, sf), "id", "label").withColumn("p1", F.round("p1", 5))
 
 
 @query(f"WITH {NEAR}, one AS (SELECT n.id, n.neighbour, n.nl, s.label FROM near n JOIN series s USING (id) WHERE rank = 1) SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.neighbour = b.id AND b.neighbour = a.id WHERE a.id < b.id AND a.label <> b.label")

@@ -52,21 +52,20 @@ LOF = f"""{NEAR}, kd AS (SELECT id, d AS kd FROM near WHERE rank = 5), lrd AS (S
 lof AS (SELECT n.id, avg(o.lrd) / any_value(s.lrd) AS score FROM near n JOIN lrd o ON n.neighbour = o.id JOIN lrd s ON n.id = s.id GROUP BY 1)"""
 
 
-@query(f"WITH {LOF} SELECT id, round(score, 4) AS score FROM lof WHERE score < 1e6")
+@query(f"WITH {LOF} SELECT id, round(ln(score), 5) AS score FROM lof")
 def od_lof(spark, sf):
-    return _r(O.local_outlier_factor(_near(spark, sf), "id", 5).where("score < 1e6"), 4)
+    lof = O.local_outlier_factor(_near(spark, sf), "id", 5)  # in logarithms, as copies of a vector make it very large
+    return _r(lof.withColumn("score", F.log("score")), 5)
 
 
 @query(f"""WITH {NEAR}, u AS (SELECT n.id, n.rank, list_transform(range(64), lambda k: b.v[k + 1] - a.v[k + 1]) AS u FROM near n JOIN series a ON n.id = a.id JOIN series b ON n.neighbour = b.id),
-  g AS (SELECT a.id, list_dot_product(a.u, b.u) / (list_dot_product(a.u, a.u) * list_dot_product(b.u, b.u)) AS g FROM u a JOIN u b ON a.id = b.id AND a.rank < b.rank) SELECT id, round(-var_pop(g), 5) AS score FROM g GROUP BY 1
-  HAVING id NOT IN (SELECT id FROM near WHERE d < 0.3)""")
+  g AS (SELECT a.id, list_dot_product(a.u, b.u) / nullif(list_dot_product(a.u, a.u) * list_dot_product(b.u, b.u), 0) AS g FROM u a JOIN u b ON a.id = b.id AND a.rank < b.rank) SELECT id, round(-ln(1 + coalesce(var_pop(g), 0)), 5) AS score FROM g GROUP BY 1""")
 def od_abod(spark, sf):
     from .inputs import series
 
-    n = _near(spark, sf)
-    close = n.where("d < 0.3").select("id").distinct()
     s = series(spark, sf).select("id", F.col("values").alias("x"))
-    return _r(O.angle_variance(s, n, "id").join(close, "id", "left_anti"), 5)
+    a = O.angle_variance(s, _near(spark, sf), "id")
+    return _r(a.withColumn("score", -F.log(1 - F.col("score"))), 5)
 
 
 DIRS = O.projections(8, 3)
