@@ -29,6 +29,7 @@ from .tokens import encoder
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME, END, PER_FILE, LEVEL = 65536, 1, 4096, 3
+CHUNKS = 1_200_000  # chunks whose ids a worker keeps
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<i4"), ("frame", "<u4"), ("n", "<u8")])
 
 
@@ -127,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, per_file:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, filesystem, writer = encoder(tokenizer), None, None
+        enc, filesystem, writer = encoder(tokenizer, CHUNKS), None, None
         for b in batches:
             for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
                 ids, texts = b.column(0)[at : at + 256].to_pylist(), [t or "" for t in b.column(1)[at : at + 256].to_pylist()]

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept in a worker before it starts afresh, characters encoded at a time, new chunks in one call.
-CHUNKS, STEP, JOIN = 450_000, 1_000_000, 128
+CHUNKS, STEP, JOIN = 500_000, 1_000_000, 128
 FIRST, PLAIN = "\ud800", "\ud801"  # marks no text can hold
 CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
@@ -99,12 +99,11 @@ class Encoder:
         out[0] = FIRST + out[0]
         return out
 
-    def _codes(self, pieces: list) -> list:
-        codes = list(map(self.code.get, pieces))
-        if None in codes:
-            self._learn({p for p, c in zip(pieces, codes, strict=True) if c is None})
-            codes = list(map(self.code.__getitem__, pieces))
-        return codes
+    def _codes(self, pieces: list) -> np.ndarray:
+        new = set(pieces).difference(self.code)
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, uint32."""
@@ -128,13 +127,13 @@ class Encoder:
             p = self._pieces(t)
             counts.append(len(p))
             flat += p
-        codes = np.array(self._codes(flat), dtype=np.int64)
+        codes = self._codes(flat)
         if (codes < 0).any():  # some text has white space next to white space: cut it with care
             ends = np.cumsum(counts)
             parts = np.split(codes, ends[:-1])
             for k, c in enumerate(parts):
                 if (c < 0).any():
-                    parts[k] = np.array(self._codes([PLAIN + x for x in CUT.split(texts[k])]), dtype=np.int64)
+                    parts[k] = self._codes([PLAIN + x for x in CUT.split(texts[k])])
             counts, codes = [len(c) for c in parts], np.concatenate(parts)
         start, count = np.frombuffer(self.start, np.int64), np.frombuffer(self.count, np.int64)
         ids = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
@@ -149,6 +148,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, chunks: int = CHUNKS) -> Encoder:
     """The worker's encoder for a file; kept as long as the worker lives."""
-    return Encoder(path)
+    return Encoder(path, chunks)
