@@ -6,30 +6,29 @@ carries a word's log-probability and leads to the longest context that ends ther
 its backoff weight and leads to the context without its first word. A text is scored in one traversal from left to
 right.
 
-Every word of every training text is counted, in tables that grow with the corpus. Contexts and the words after them
-are kept if they make up a stated share of all tokens, so there can't be more of them than the reciprocal of that
-share, at any size: that part of the automaton is broadcast. The root's arcs, one for each word of the corpus, are not:
-texts are dealt into groups, each group asks the counts of its own words by a join, and scores with these.
+Every word of every training text is counted, and every bigram and trigram; n-grams that occur at least twice are arcs, at
+any corpus size. Nothing of the model is broadcast: texts are dealt into groups, each group asks for its own words and
+n-grams in one table that counts them too, and is told by a join the arcs and failure weights it can meet. Words and
+n-grams go by 64-bit hashes. ``build`` is the same automaton in one process; tests hold the told arcs against it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold, parts
 
 MOD, HELD = 7, 2
-WORD_SHARE, ARC_SHARE, LEAST, DISCOUNT = 1e-4, 1e-6, 2, 0.5
-GROUP_TOKENS, FLUSH, FLUSH_CHARS = 1_000_000, 400_000, 40_000_000
+LEAST, DISCOUNT, SEED = 2, 0.5, 42
+GROUP_CHARS, FLUSH, FLUSH_CHARS = 7_000_000, 400_000, 20_000_000
 START = 0  # number of the begin-of-text context; 1 is the end token, words follow
 STOP = 1
 
@@ -38,54 +37,102 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of training texts; a null word counts texts, that is end tokens."""
-    seen: Counter = Counter()
-    docs = 0
+class Hashes(dict):
+    """The 64-bit hash of each word, kept for up to FLUSH words."""
 
-    def out(words: list, counts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+#: Tokens have no spaces, so no word is one of these.
+FIRST, LAST = (xxhash.xxh64_intdigest(w, SEED) for w in (b" start", b" end"))
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of its context and its last word."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _encode(texts: list[str], hashes: Hashes) -> np.ndarray:
+    """The words of all texts, each text between FIRST and LAST."""
+    out: list[int] = []
+    for t in texts:
+        out.append(FIRST)
+        out += map(hashes.__getitem__, tokens(t))
+        out.append(LAST)
+    return np.array(out, np.uint64)
+
+
+def _grams(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, context, suffix) of every word, bigram and trigram of encoded texts."""
+    inside = w[1:] != FIRST
+    two = mix(w[:-1], w[1:])
+    both = inside[:-1] & inside[1:]
+    none = np.zeros(len(w), np.uint64)
+    return [(w, none, none), (two[inside], w[:-1][inside], w[1:][inside]), (mix(two[:-1], w[2:])[both], two[:-1][both], two[1:][both])]
+
+
+ASKED = ["pid", "o", "k", "ctx", "suf", "n"]
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, order, key, context, suffix, n): what occurs in a group, with its count in the training texts."""
+    seen: dict[int, tuple[list, list]] = {}
+    size, hashes = 0, Hashes()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for pid, texts in seen.items():
+            train, held = (_grams(_encode(t, hashes)) if t else None for t in texts)
+            for o in range(3):
+                cols = [np.concatenate([x[o][c] for x in (train, held) if x]) for c in range(3)]
+                k, at, back = np.unique(cols[0], return_index=True, return_inverse=True)
+                n = np.bincount(back[: len(train[o][0])], minlength=len(k)) if train else np.zeros(len(k), np.int64)
+                signed = [x.view(np.int64) for x in (k, cols[1][at], cols[2][at])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), pid, np.int64)), pa.array(np.full(len(k), o + 1, np.int32)), *map(pa.array, signed), pa.array(n.astype(np.int64))], ASKED)
+        seen.clear()
 
     for b in batches:
-        for t in b.column(0):
-            seen.update(tokens(t.as_py()))
-            docs += 1
-            if len(seen) > FLUSH:
-                yield out(list(seen), list(seen.values()))
-                seen.clear()
-    yield out([*seen, None], [*seen.values(), docs])
+        for pid, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            text = t.as_py()
+            seen.setdefault(pid, ([], []))[held_out].append(text)
+            size += len(text)
+            if size > FLUSH_CHARS:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
-def _count_grams(vocabulary: dict[bytes, int], base: int):
-    """(key, n) of bigrams and trigrams of known words in training texts; a key is a number in base ``base``."""
+def _kept(least: int):
+    """Of asked rows in order of key: each word that occurs in training, each n-gram that occurs ``least`` times, and who asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: list[list[np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held or [np.empty(0, np.int64)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
+        def out(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+            pid, o, k, ctx, suf, n = cols
+            total, length = np.add.reduceat(n, starts), np.diff([*starts, len(k)])
+            keep = total >= np.where(o[starts] == 1, 1, least)
+            ends = np.concatenate([[0], np.cumsum(length[keep])])
+            pids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pid[np.repeat(keep, length)]))
+            return pa.RecordBatch.from_arrays([*(pa.array(c[starts[keep]]) for c in (o, k, ctx, suf)), pa.array(total[keep]), pids], ["o", "k", "ctx", "suf", "n", "pids"])
 
-        get = ({w: i + 2 for w, i in vocabulary.items()} | {None: START + 2, False: STOP + 2}).get
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                flat: list = []
-                for t in b.column(0)[at : at + 256].to_pylist():
-                    flat.append(None)
-                    flat += tokens(t)
-                    flat.append(False)
-                w = np.fromiter(map(get, flat, repeat(1)), np.int64, len(flat))  # 1: a word that isn't in the vocabulary
-                two, three = w[:-1] * base + w[1:], (w[:-2] * base + w[1:-1]) * base + w[2:]
-                known = w > 1
-                both = known[:-1] & known[1:] & (w[1:] != START + 2)
-                held += [two[both], three[both[:-1] & both[1:]]]
-                size += len(w)
-                if size > 4_000_000:
-                    yield flush()
-                    size = 0
-        yield flush()
+            held.append([c.to_numpy() for c in b.columns])
+            if b.num_rows == 0 or held[0][2][0] == held[-1][2][-1]:  # one key so far
+                held = [h for h in held if len(h[0])]
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            new = np.flatnonzero(np.diff(cols[2]) != 0) + 1
+            yield out([c[: new[-1]] for c in cols], np.concatenate([[0], new[:-1]]))
+            held = [[c[new[-1] :] for c in cols]]
+        if held:
+            yield out([np.concatenate(c) for c in zip(*held, strict=True)], np.array([0]))
 
     return run
 
@@ -174,86 +221,92 @@ def build(words: dict[int, int], grams: dict[int, int], base: int, n: int, v: in
     return auto
 
 
-def _requests(common: frozenset[bytes]):
-    """(pid, word): the words of each group of texts in a task, each once, without the common ones."""
+def arcs(grams: DataFrame, total: int, discount: float = DISCOUNT) -> DataFrame:
+    """(pids, k, n, v, w) of kept words and n-grams.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set] = {}
-        size = 0
+    v is log10 of an n-gram's probability over that of its last word at the root, w the log10 failure weight of the
+    context that it is; n is a word's count.
+    """
+    one = grams.where("o = 1").select("k", "n", "pids")
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for pid, words in seen.items():
-                words -= common
-                yield pa.RecordBatch.from_arrays([pa.array([pid] * len(words), pa.int64()), pa.array(list(words), pa.binary())], ["pid", "word"])
-            seen.clear()
+    def joined(df: DataFrame, lower: DataFrame, on: str, **cols: str) -> DataFrame:
+        return df.join(lower.select(F.col("k").alias("_k"), *[F.col(c).alias(a) for a, c in cols.items()]), F.col(on) == F.col("_k")).drop("_k")
 
-        for b in batches:
-            for pid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py()
-                seen.setdefault(pid, set()).update(tokens(text))
-                size += len(text)
-                if size > FLUSH_CHARS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+    def weights(df: DataFrame) -> DataFrame:
+        left = lambda c: F.greatest(F.lit(1e-300), 1 - F.sum(c))
+        return df.groupBy("ctx").agg(F.log10(left("p") / left("below")).alias("w")).withColumnRenamed("ctx", "_c")
 
-    return run
+    def told(df: DataFrame, n, v, above: DataFrame | None = None) -> DataFrame:
+        df = df.withColumn("w", F.lit(0.0)) if above is None else df.join(above, F.col("k") == F.col("_c"), "left")
+        return df.select("pids", "k", n.cast("long").alias("n"), v.cast("double").alias("v"), F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    two = joined(joined(grams.where("o = 2"), one, "ctx", seen="n"), one, "suf", root="n")
+    two = two.select("k", "ctx", "n", "pids", ((F.col("n") - discount) / F.col("seen")).alias("p"), ((F.col("root") + 1) / total).alias("below"))
+    two = cut(two.withColumn("root", F.col("below")), "lm-bigrams")
+    three = joined(joined(grams.where("o = 3"), two, "ctx", seen="n"), two, "suf", below="p", root="root")
+    three = cut(three.select("k", "ctx", "pids", ((F.col("n") - discount) / F.col("seen")).alias("p"), "below", "root"), "lm-trigrams")
+    v = F.log10(F.col("p") / F.col("root"))
+    return told(one, F.col("n"), F.lit(0.0), weights(two)).unionByName(told(two, F.lit(0), v, weights(three))).unionByName(told(three, F.lit(0), v))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, mod: int = MOD, held: int = HELD, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
+def score(docs: DataFrame, mod: int = MOD, held: int = HELD, least: int = LEAST) -> DataFrame:
     """Scores every row of ``docs`` with a model of the rows outside the held-out fold.
 
-    A null or empty text is one end token. Repeated rows count as often as they occur, null ids count as the empty
-    text in the fold. Without training rows every token has probability 1. An empty table gives an empty result. Other
-    columns aren't read.
+    N-grams that occur ``least`` times in training are arcs. A null or empty text is one end token. Repeated rows count
+    as often as they occur, null ids count as the empty text in the fold. Without training rows every token has
+    probability 1. An empty table gives an empty result. Other columns aren't read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "held_out", fold("doc_id", mod) == held
     )
-    training = own.where("not held_out").select("text")
-    counts = cut(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    n, v, ends = counts.agg(F.sum("n"), F.count("word"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
-    n, ends = n or 0, ends or 0
-    v = v + (ends > 0)
-    least = max(LEAST, math.ceil(word_share * n))
-    frequent = [(r["word"], r["n"]) for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= least)).collect()]  # at most 1 / word_share
-    frequent.sort(key=lambda x: (-x[1], x[0]))
-    vocabulary = {bytes(w): i + 2 for i, (w, _) in enumerate(frequent)}
-    base = len(vocabulary) + 4
-    sc = docs.sparkSession.sparkContext
-    arcs = max(LEAST, math.ceil(arc_share * n))
-    grams = training.mapInArrow(_count_grams(vocabulary, base), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= arcs)
-    kept = {r["key"]: r["n"] for r in grams.collect()}  # at most 2 / arc_share
-    auto = build({vocabulary[bytes(w)]: c for w, c in frequent}, kept, base, n, v, ends)
-    shared = sc.broadcast((auto, vocabulary, {bytes(w): c for w, c in frequent}))
-    total = n + v + 1
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        auto, vocabulary, common = shared.value
-        known = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
-        known.update(common)
-        known[None] = ends
-        root = {w: math.log10((c + 1) / total) for w, c in known.items()}
-        number = {w: vocabulary.get(w, -1) for w in known}
-        number[None] = STOP
-        rows = []
-        for doc, text, held_out in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
-            t = [*tokens(text), None]
-            p = [root[w] for w in t]
-            rows.append((doc, held_out, len(t), sum(known[w] > 0 for w in t), n, math.fsum(p), auto.traverse([number[w] for w in t], p)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
-
-    # A group is part of a file split, so that a task that reads a split asks for each word once and no text is moved.
+    # A group is part of a file split, so that a task that reads a split asks for each word and n-gram of a group once.
     place = [F.input_file_name(), F.input_file_block_start()]
-    splits = max(1, own.select(*place).distinct().count())
-    within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts(n, GROUP_TOKENS * splits)))
+    sizes = own.groupBy(*place).agg(F.sum(F.length("text")).alias("c")).agg(F.count("*"), F.sum("c")).first()
+    within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts(sizes[1] or 0, GROUP_CHARS * max(1, sizes[0]))))
     dealt = own.withColumn("pid", F.xxhash64(*place, within))
-    asked = dealt.select("pid", "text").mapInArrow(_requests(frozenset(bytes(w) for w, _ in frequent)), "pid long, word binary")
-    rare = counts.where(F.col("word").isNotNull() & (F.col("n") < least))
-    told = asked.join(rare, "word", "left").select("pid", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    asked = dealt.select("pid", "text", "held_out").mapInArrow(_asks, "pid long, o int, k long, ctx long, suf long, n long")
+    grams = asked.repartition("k").sortWithinPartitions("k").mapInArrow(_kept(least), "o int, k long, ctx long, suf long, n long, pids array<long>")
+    grams = cut(grams, "lm-grams")
+    start = int(np.uint64(FIRST).astype(np.int64))
+    n, v = grams.where((F.col("o") == 1) & (F.col("k") != start)).agg(F.sum("n"), F.count("*")).first()
+    n = n or 0
+    total = n + v + 1
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        k = told.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(k)
+        # one entry more, for what wasn't told
+        keys = k[order]
+        count, value, weight = (np.append(told.column(c).to_numpy()[order], 0) for c in ("n", "v", "w"))
+
+        def find(x: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys, x)
+            return np.where(np.append(keys, 0)[at] == x, at, len(keys)) if len(keys) else np.zeros(len(x), np.int64)
+
+        hashes, parts_of = Hashes(), []
+        for at in range(0, texts.num_rows, 512):
+            w = _encode(texts.column("text").slice(at, 512).to_pylist(), hashes)
+            first = np.flatnonzero(w == FIRST)
+            word = find(w)
+            two = mix(w[:-1], w[1:])
+            pair = np.append(len(keys), find(two))  # of each position, with the word before it
+            pair[first] = len(keys)
+            three = np.append([len(keys)] * 2, find(mix(two[:-1], w[2:])))
+            three[np.concatenate([first, first + 1])] = len(keys)
+            before = lambda x: np.append(0.0, x[:-1])
+            up = np.where(pair < len(keys), value[pair], before(weight[word]))
+            up = np.where(three < len(keys), value[three], before(weight[pair]) + up)
+            root = np.log10((count[word] + 1) / total)
+            root[first] = up[first] = 0.0
+            known = (count[word] > 0) & (w != FIRST)
+            base, more = np.add.reduceat(root, first), np.add.reduceat(up, first)
+            parts_of.append((np.diff([*first, len(w)]) - 1, np.add.reduceat(known.astype(np.int64), first), base, base + more))
+        length, known, base, full = (np.concatenate(c) for c in zip(*parts_of, strict=True)) if parts_of else [np.empty(0)] * 4
+        cols = [texts.column("doc_id"), texts.column("held_out"), length.astype(np.int64), known.astype(np.int64), np.full(len(length), n, np.int64), base, full]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in cols], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    told = arcs(grams, total).select(F.explode("pids").alias("pid"), "k", "n", "v", "w")
     return dealt.select("pid", "doc_id", "text", "held_out").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(run, SCORED)

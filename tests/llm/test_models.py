@@ -206,6 +206,27 @@ def test_lm_base(request, which):
     assert lm.score(own.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_lm_keeps_every_ngram_that_occurs_twice(request, which):
+    held = request.getfixturevalue(which).collect()
+    texts = [lm.tokens(r["text"]) for r in held if crc(r["doc_id"]) % 7 != 2]
+    count = Counter(w for t in texts for w in t)
+    number = {w: i + 2 for i, w in enumerate(sorted(count))}
+    base, grams = len(number) + 4, Counter()
+    for t in texts:
+        s = [lm.START + 2, *(number[w] + 2 for w in t), lm.STOP + 2]
+        grams.update(a * base + b for a, b in zip(s, s[1:], strict=False))
+        grams.update((a * base + b) * base + c for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    n, v = sum(count.values()) + len(texts), len(count) + 1
+    auto = lm.build({number[w]: c for w, c in count.items()}, {k: c for k, c in grams.items() if c >= 2}, base, n, v, len(texts))
+    want = Counter()
+    for r in held:
+        t = lm.tokens(r["text"])
+        p = [math.log10((c + 1) / (n + v + 1)) for c in [*(count[w] for w in t), len(texts)]]
+        want[(r["doc_id"], round(auto.traverse([*(number.get(w, -1) for w in t), lm.STOP], p), 5))] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in lm.score(request.getfixturevalue(which)).collect()) == want
+
+
 def test_automaton_sums_to_one_and_equals_plain_backoff():
     rng = random.Random(4)
     texts = [[rng.choice("abcde") for _ in range(rng.randint(1, 12))] for _ in range(200)]
