@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -54,15 +54,19 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, h) for every row; fp is the fingerprint as a signed long, h a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([fingerprint(t.as_py(), size, seed) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, b.column(2)], ["doc_id", "fp", "h"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash("text")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def _star(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -146,6 +150,14 @@ def link_edges(fps: DataFrame, bits: int = BITS, posting: int = POSTING) -> Data
     return dealt.mapInArrow(_runs(bits), "a long, b long")
 
 
+def _rooted(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, h) of every row, and (fp, least, root): each distinct fingerprint's class, named by its root fingerprint."""
+    own = cut(fingerprints(docs), "fingerprints")
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    roots = components(link_edges(distinct.select("fp"), bits))
+    return own, distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -154,24 +166,25 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     and never name a class unless it has no other id. Repeated rows stay. An empty table gives an empty result.
     Columns besides doc_id and text aren't read.
     """
-    own = cut(fingerprints(docs), "fingerprints")
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    roots = components(link_edges(distinct.select("fp"), bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own, rooted = _rooted(docs, bits)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     return own.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of each class: the one whose doc_id names it; all columns of ``docs`` stay.
+    """One row of each class: the one of the smallest doc_id, nulls last; all columns of ``docs`` stay.
 
-    Of rows that repeat that doc_id one stays, the first in order of text. A class without ids keeps nothing
-    but one row with a null id.
+    Of rows that repeat that doc_id in the class the first in order of text stays. Classes are those of fingerprints, so
+    a class without ids keeps a row of its own, and texts of different classes that share an id both stay.
     """
-    found = classes(docs, bits)
-    named = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"), F.col("doc_id").cast("long").alias("_i"))
-    kept = own.join(named, F.col("_i").eqNullSafe(F.col("_keep")), "left_semi")
-    one = kept.groupBy("_i").agg(F.min_by("_d", F.struct(F.coalesce(F.col("_d.text"), F.lit("")), F.xxhash64("_d"))).alias("_d"))
+    own, rooted = _rooted(docs, bits)
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.select(F.col("fp").alias("_fp"), F.col("root")).join(least, "root")
+    of = own.join(named, F.col("fp") == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    of = of.select("root", F.col("doc_id").alias("_keep"), F.col("h").alias("_h")).distinct()  # an id and a text have one class
+    all_rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"))
+    all_rows = all_rows.select("_d", F.col("_d.doc_id").cast("long").alias("_i"), _text_hash("_d.text"))
+    kept = all_rows.join(of, F.col("_i").eqNullSafe(F.col("_keep")) & (F.col("h") == F.col("_h")))
+    one = kept.groupBy("root").agg(F.min_by("_d", F.struct(F.coalesce(F.col("_d.text"), F.lit("")), F.xxhash64("_d"))).alias("_d"))
     return one.select(*[F.col("_d").getField(c).alias(c) for c in docs.columns])

@@ -157,6 +157,19 @@ def test_simhash(request, which):
     assert kept.columns == own.columns and kept.count() == len({r[2] for r in want})
 
 
+def test_dedup_keeps_a_row_of_every_class(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(12)]
+    own = [(None, t) for t in texts[:6]] + [(i, t) for i, t in enumerate(texts[6:9])] + [(1, texts[9]), (1, texts[10]), (7, texts[10]), (8, texts[11]), (None, texts[11]), (None, texts[0]), (2, texts[8])]
+    of = linked([fp(t) for _, t in own], list(range(len(own))))
+    want = []
+    for c in set(of):
+        want.append(min((r for r, x in zip(own, of, strict=True) if x == c), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    assert len(want) == 12
+    got = rows(simhash.dedup(spark.createDataFrame(own, "doc_id long, text string").repartition(3)))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_simhash_links_lose_nothing(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40)
