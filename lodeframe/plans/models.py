@@ -141,7 +141,7 @@ def feature_importances(spark, sf):
 def lore_rule(spark, sf):
     predict, d = _scorer(spark, sf)
     x = list(d.orderBy("id").first()["x"])
-    cut = predict(d.limit(200)).agg(F.percentile("pred", 0.5)).first()[0]
+    cut = predict(d).agg(F.percentile("pred", 0.5)).first()[0]
     r = X.local_rule(spark, lambda df: predict(df).withColumn("pred", (F.col("pred") > cut).cast("int")), x, [0.5] * 5, COLUMNS, 400)
     return spark.createDataFrame([(r["rule"], r["counterfactual"], float(r["fidelity"]))], "rule string, counterfactual string, fidelity double")
 

@@ -207,3 +207,14 @@ def test_stream_equals_table(spark, tmp_path, sf_dir):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("bucket", "event_type", "n").collect()}
     want = {tuple(r) for r in half_hours(ev, "ts", "value", "event_type").select("bucket", "event_type", "n").collect()}
     assert got <= want and len(got) > 0.9 * len(want)
+
+
+def test_lore_rule_cuts_at_the_median_of_the_table(spark, sf_dir, monkeypatch):
+    from lodeframe.plans import models as M
+
+    held = {}
+    monkeypatch.setattr(M.X, "local_rule", lambda spark, predict, *a: held.update(f=predict) or {"rule": "", "counterfactual": "", "fidelity": 1.0})
+    M.lore_rule(spark, sf_dir)
+    _, d = M._scorer(spark, sf_dir)
+    n, above = held["f"](d).selectExpr("count(*)", "sum(pred)").first()
+    assert abs(above - n / 2) <= 1
