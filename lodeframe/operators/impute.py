@@ -22,41 +22,61 @@ def indicators(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns])
 
 
-def knn_fill(df: DataFrame, key: str, columns: list[str], k: int = 5, donors: int = 2000) -> DataFrame:
-    """Missing cells at the mean of the k nearest donors that have the column, by distance over shared columns.
+def knn_fill(df: DataFrame, key: str, columns: list[str], k: int = 5, block: int = 16384) -> DataFrame:
+    """Missing cells at the mean of the k nearest rows of the whole table that have the column.
 
-    The squared distance over columns both rows have is scaled by all columns / shared columns. Donors are the
-    first ``donors`` complete-as-possible rows in order of missing cells, then key: a stated model parameter that
-    bounds what is broadcast. Ties go by key. A cell without donors takes the column mean of the donors.
+    The squared distance over columns both rows have is scaled by all columns / shared columns. ``key`` is a unique
+    number; ties go by it. A cell without such rows takes the column's mean. Blocks of rows with gaps meet blocks of all rows as
+    matrices, and k rows for each cell and block are shuffled. The work grows with the square of the rows.
     """
     x = F.array(*[F.col(c).cast("double") for c in columns])
-    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
-    pool = df.orderBy(missing, key).limit(donors).select(key, x.alias("x")).collect()
-    ids = np.array([r[0] for r in pool])
-    base = np.array([[np.nan if v is None else v for v in r[1]] for r in pool], float).reshape(-1, len(columns))
-    shared = df.sparkSession.sparkContext.broadcast((ids, base))
-
-    @F.pandas_udf("array<double>")
-    def run(keys: pd.Series, xs: pd.Series) -> pd.Series:
-        ids, base = shared.value
+    rows = df.select(F.col(key).cast("long").alias("p"), x.alias("x"))
+    gap = F.exists("x", lambda v: v.isNull())
+    n, gaps = rows.agg(F.count("*"), F.sum(gap.cast("long"))).first()
+    g, b = max(1, -(-n // block)), max(1, -(-(gaps or 0) // (block // 2)))
+
+    def dealt(own: DataFrame, mine: str, mod: int, other: str, times: int) -> DataFrame:
+        return own.select("*", F.pmod(F.xxhash64("p"), F.lit(mod)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias(other))
+
+    def matrix(xs: pd.Series) -> np.ndarray:
+        return np.array([[np.nan if v is None else v for v in r] for r in xs], float).reshape(-1, len(columns))
+
+    def run(ask: pd.DataFrame, all_rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for key, x in zip(keys, xs, strict=True):
-            x = np.array([np.nan if v is None else v for v in x], float)
-            if np.isnan(x).any():
-                diff = (base - x) ** 2
-                n = (~np.isnan(diff)).sum(axis=1)
-                d = np.where(n > 0, np.nansum(diff, axis=1) * len(x) / np.maximum(n, 1), np.inf)
-                d[ids == key] = np.inf
-                order = np.lexsort((ids, d))
-                for j in np.flatnonzero(np.isnan(x)):
-                    near = [i for i in order if np.isfinite(d[i]) and not np.isnan(base[i, j])][:k]
-                    x[j] = base[near, j].mean() if near else np.nanmean(base[:, j]) if (~np.isnan(base[:, j])).any() else np.nan
-            out.append([None if np.isnan(v) else float(v) for v in x])
-        return pd.Series(out)
-
-    filled = df.select("*", run(F.col(key), x).alias("_x"))
+        x, y = matrix(ask["z"]), matrix(all_rows["x"])
+        q, p = ask["q"].to_numpy(np.int64), all_rows["p"].to_numpy(np.int64)
+        for j in range(len(columns)):
+            miss, have = np.flatnonzero(np.isnan(x[:, j])), np.flatnonzero(~np.isnan(y[:, j]))
+            if not len(miss) or not len(have):
+                continue
+            donors = np.nan_to_num(y[have])
+            there = ~np.isnan(y[have])
+            for at in range(0, len(miss), 32):
+                mine = miss[at : at + 32]
+                d, shared = np.zeros((len(mine), len(have))), np.zeros((len(mine), len(have)))
+                for c in range(len(columns)):
+                    both = ~np.isnan(x[mine, c])[:, None] & there[None, :, c]
+                    d += np.where(both, (np.nan_to_num(x[mine, c])[:, None] - donors[None, :, c]) ** 2, 0.0)
+                    shared += both
+                d = np.where(shared > 0, d * len(columns) / np.maximum(shared, 1), np.inf)
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(have) > k else np.full(len(mine), np.inf)
+                r, c = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                order = np.lexsort((p[have[c]], d[r, c], r))
+                r, c = r[order], c[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[nth < k], c[nth < k]
+                out.append(pd.DataFrame({"q": q[mine[r]], "j": j, "p": p[have[c]], "d": d[r, c], "v": y[have[c], j]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "j": [], "p": [], "d": [], "v": []})
+
+    asked, base = dealt(rows.where(gap), "_b", b, "_g", g), dealt(rows, "_g", g, "_b", b)
+    asked = asked.select(F.col("p").alias("q"), F.col("x").alias("z"), F.col("_b").alias("_c"), F.col("_g").alias("_h"))
+    met = asked.groupBy("_c", "_h").cogroup(base.groupBy("_b", "_g")).applyInPandas(run, "q long, j int, p long, d double, v double")
+    near = met.withColumn("rank", F.row_number().over(Window.partitionBy("q", "j").orderBy("d", "p"))).where(F.col("rank") <= k)
+    found = near.groupBy("q").agg(*[F.avg(F.when(F.col("j") == i, F.col("v"))).alias(f"_v{i}") for i in range(len(columns))])
+    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    filled = df.join(found, F.col(key).cast("long") == F.col("q"), "left").crossJoin(F.broadcast(means))
     at = {c: i for i, c in enumerate(columns)}
-    return filled.select(*[F.col("_x")[at[c]].alias(c) if c in at else F.col(c) for c in df.columns])
+    return filled.select(*[F.coalesce(F.col(c).cast("double"), f"_v{at[c]}", f"_m{at[c]}").alias(c) if c in at else df[c] for c in df.columns])
 
 
 def _moments(df: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:

@@ -154,7 +154,7 @@ def missing_indicators(spark, sf):
 
 @query()
 def knn_fill(spark, sf):
-    return I.knn_fill(orders_table(spark, sf), "id", COLUMNS, 5, donors=500)
+    return I.knn_fill(orders_table(spark, sf), "id", COLUMNS, 5)
 
 
 @query()

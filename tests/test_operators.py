@@ -218,3 +218,26 @@ def test_lore_rule_cuts_at_the_median_of_the_table(spark, sf_dir, monkeypatch):
     _, d = M._scorer(spark, sf_dir)
     n, above = held["f"](d).selectExpr("count(*)", "sum(pred)").first()
     assert abs(above - n / 2) <= 1
+
+
+def test_knn_fill_searches_all_rows(spark):
+    import numpy as np
+
+    from lodeframe.operators import impute
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(2600, 3)), 2)
+    gaps = rng.random((2600, 3)) < 0.1
+    own = [(i, *(None if m else float(v) for v, m in zip(r, g, strict=True))) for i, (r, g) in enumerate(zip(x, gaps, strict=True))]
+    got = {r["id"]: r for r in impute.knn_fill(spark.createDataFrame(own, "id long, a double, b double, c double"), "id", ["a", "b", "c"], 3, block=700).collect()}
+    assert len(got) == len(own)
+    for i in range(0, 2600, 5):
+        both = ~gaps[i] & ~gaps
+        n = both.sum(axis=1)
+        d = np.where(n > 0, np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) * 3 / np.maximum(n, 1), np.inf)
+        for j, c in enumerate("abc"):
+            want = x[i, j]
+            if gaps[i, j]:
+                near = [r for r in np.lexsort((np.arange(2600), d)) if not gaps[r, j] and np.isfinite(d[r])][:3]
+                want = x[near, j].mean() if near else x[~gaps[:, j], j].mean()
+            assert abs(got[i][c] - want) < 1e-9
