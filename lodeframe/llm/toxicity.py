@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text (the library's own trainer, over windows of ordinary
-documents), one on toxic text. Only documents carry labels and most of a toxic document reads like any other, so the
-toxic dictionary takes the segments that set toxic text apart: as the cover algorithm does, it takes segments by what
-their grams are worth and skips grams it holds already, but a gram is worth something only if it is much
-commoner among toxic documents. The ordinary content follows it at the same distances, so a window without such a
-segment compresses to the same length under both, and a window with one is shorter under the toxic dictionary. A
-document is cut into overlapping windows that cover it whole; the lengths saved, summed and at most, go through a
-logistic curve whose cut is calibrated on documents the dictionaries haven't seen.
+Two zstandard dictionaries are trained by the library's own trainer: one on windows of ordinary documents, one on toxic
+text. Only documents carry labels and most of a toxic document reads like any other, so a trainer given whole toxic
+documents would pick what both classes share. It is therefore given the stretches of toxic documents whose grams are
+significantly and several times commoner there (a likelihood-ratio test that expects one false gram in all), a
+character around each. The ordinary content follows at the same distances in both dictionaries, so a window without
+such a stretch compresses to the same length under both, and a window with one is shorter under the toxic dictionary.
+
+A document is cut into overlapping windows that cover it whole. How many windows save at least 1, 2, ... bytes, of how many,
+goes through a logistic curve. Its features are cross-fitted: every labelled document is measured with dictionaries
+that haven't seen it. The curve's cut is calibrated on them, and a score that doesn't tell the classes apart
+rejects nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .common import fold, labelled_sample
 
 MOD, HELD, CUT = 3, 1, 0.7
 ROWS = 2400  # labelled texts used for training, at most
-WINDOW, STEP, LEVEL, MATCH = 96, 80, 13, 5
-GRAM, SHARE, TIMES, CORE, LEAST, SEGMENTS, ORDINARY = 5, 0.02, 20.0, 0.6, 0.25, 1024, 1024
+WINDOW, STEP, LEVEL, MATCH, STEPS = 128, 112, 13, 5, 5
+GRAM, FALSE, TIMES, CORE, AROUND, TOXIC, ORDINARY = 5, 1.0, 2, 0.4, 1, 4096, 1024
+FOLDS = 3
+APART = 10.83  # likelihood ratio of a cut that tells the classes apart at one in a thousand
 SEED = "toxic"
 
 
@@ -68,76 +73,98 @@ def _spread(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def segments(toxic: list[bytes], ordinary: list[bytes], size: int = SEGMENTS) -> bytes:
-    """The content that sets ``toxic`` apart, the commonest last (nearest, so cheapest to refer to)."""
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every gram and the number of texts that hold it."""
+    return np.unique(np.concatenate([np.unique(_codes(t)) for t in texts] or [np.empty(0, np.int64)]), return_counts=True)
 
-    def shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        u, n = np.unique(np.concatenate([np.unique(_codes(t)) for t in texts] or [np.empty(0, np.int64)]), return_counts=True)
-        return u, n / max(1, len(texts))
 
-    (u, p), (v, q) = shares(toxic), shares(ordinary)
-    at = np.searchsorted(v, u)
-    other = np.where((at < len(v)) & (v[np.minimum(at, len(v) - 1)] == u), q[np.minimum(at, len(v) - 1)], 0.0) if len(v) else np.zeros(len(u))
-    apart = (p >= max(SHARE, 2.5 / max(1, len(toxic)))) & (p >= TIMES * (other + 0.25 / max(1, len(ordinary))))
-    apart &= p >= LEAST * p[apart].max(initial=0.0)
-    good, worth = u[apart], p[apart]
-    spans: Counter = Counter()
+def ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The likelihood-ratio statistic of ``a`` of ``n1`` against ``b`` of ``n0``."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    p = (a + b) / (n1 + n0)
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    return 2 * (part(a, n1 * p) + part(b, n0 * p) + part(n1 - a, n1 * (1 - p)) + part(n0 - b, n0 * (1 - p)))
+
+
+def telling(toxic: list[bytes], ordinary: list[bytes], false: float = FALSE) -> tuple[np.ndarray, np.ndarray]:
+    """Grams at least TIMES and significantly commoner in ``toxic`` texts, sorted, and their statistics; about ``false`` are so by chance."""
+    (u, a), (v, b) = _counts(toxic), _counts(ordinary)
+    if not len(u) or not len(v):
+        return np.empty(0, np.int64), np.empty(0)
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    other = np.where(v[at] == u, b[at], 0)
+    g = ratio(a, other, len(toxic), len(ordinary))
+    good = (g >= 2 * math.log(len(u) / false)) & (a * len(ordinary) >= TIMES * (other + 0.5) * len(toxic))
+    return u[good], g[good]
+
+
+def stretches(toxic: list[bytes], grams: np.ndarray, worth: np.ndarray) -> list[bytes]:
+    """Where telling grams follow each other: their core (grams around it only go along with it) and AROUND bytes."""
+    out = []
     for t in toxic:
         c = _codes(t)
-        hit = np.flatnonzero(np.isin(c, good))
+        hit = np.flatnonzero(np.isin(c, grams))
         if len(hit):
             for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                w = worth[np.searchsorted(good, c[run])]
-                core = run[w >= CORE * w.max()]  # the grams around it only go along with it
-                spans[t[core[0] : core[-1] + GRAM]] += 1
-    out: list[bytes] = []
-    held: set[int] = set()
-    used = 0
-    for s, _ in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
-        new = set(_codes(s).tolist()) - held
-        if new and used + len(s) <= size:
-            out.append(s)
-            held |= new
-            used += len(s)
-    return b"".join(reversed(out))
-
-
-def ordinary_content(texts: list[bytes], size: int = ORDINARY) -> bytes:
-    samples = [w for t in texts for w in windows(t)]
+                w = worth[np.searchsorted(grams, c[run])]
+                core = run[w >= CORE * w.max()]
+                out.append(t[max(0, core[0] - AROUND) : core[-1] + GRAM + AROUND])
+    return out
+
+
+def content(samples: list[bytes], size: int) -> bytes:
+    """What the zstandard trainer keeps of ``samples``; of too few samples to train on, the distinct ones, commonest last."""
+    if not samples:
+        return b""
     try:
         return zstandard.train_dictionary(size + 512, samples, k=16, d=6).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"".join(samples)[-size:]
+    except zstandard.ZstdError:
+        out = b""
+        for s, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+            out = s + out if s not in out else out
+        return out[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary content."""
+    own = content(stretches(toxic, *telling(toxic, ordinary)), TOXIC)
+    return own, content([w for t in ordinary for w in windows(t)], ORDINARY)
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
     shift: float
 
     def compressors(self) -> tuple:
         out = []
-        for content in (self.ordinary, self.toxic + self.ordinary):
+        for held in (self.ordinary, self.toxic + self.ordinary):
             p = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=WINDOW, dict_size=max(8, len(content)), min_match=MATCH,
+                LEVEL, source_size=WINDOW, dict_size=max(8, len(held)), min_match=MATCH,
                 write_content_size=False, write_checksum=False, write_dict_id=False,
             )
-            d = zstandard.ZstdCompressionDict(content.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(held.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
         return tuple(out)
 
-    def saved(self, text: str | None, both: tuple) -> tuple[float, float]:
-        """Bytes saved over all windows, as a logarithm, and in the best window."""
+    def saved(self, text: str | None, both: tuple) -> list[int]:
+        """Bytes that the toxic dictionary saves in each window."""
         a, b = both
-        d = [len(a.compress(w)) - len(b.compress(w)) for w in windows(plain(text))]
-        return math.log1p(sum(x for x in d if x > 0)), float(max(d))
+        return [len(a.compress(w)) - len(b.compress(w)) for w in windows(plain(text))]
+
+    def measures(self, text: str | None, both: tuple) -> list[float]:
+        """Windows that save at least 1, ... STEPS bytes, bytes saved, and windows, as logarithms; the most saved."""
+        d = Counter(self.saved(text, both))
+        at_least = [math.log1p(sum(n for x, n in d.items() if x >= k)) for k in range(1, STEPS + 1)]
+        return [*at_least, math.log1p(sum(x * n for x, n in d.items() if x > 0)), math.log(sum(d.values())), float(max(d))]
 
     def score(self, text: str | None, both: tuple) -> float:
-        x = self.saved(text, both)
-        z = self.weights[0] + self.weights[1] * x[0] + self.weights[2] * x[1] + self.shift
+        z = self.weights[0] + self.shift
+        if self.toxic:
+            z += sum(w * x for w, x in zip(self.weights[1:], self.measures(text, both), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -155,39 +182,49 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def best_cut(z: np.ndarray, y: np.ndarray, prior: float) -> float:
-    """The cut with the best F1 when a share ``prior`` of the population is labelled 1; midway between scores."""
+def best_cut(z: np.ndarray, y: np.ndarray, prior: float) -> float | None:
+    """The cut with the best F1 when a share ``prior`` of the population is labelled 1; midway between scores.
+
+    None if what it rejects isn't significantly oftener labelled 1 than the rest, as with scores that are all the same.
+    """
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
-    tp = np.cumsum(y) / max(1, y.sum()) * prior
-    fp = np.cumsum(1 - y) / max(1, (1 - y).sum()) * (1 - prior)
-    f1 = np.where(np.append(z[1:] != z[:-1], True), 2 * tp / (tp + fp + prior), -1)
+    ones, zeros = y.sum(), (1 - y).sum()
+    tp, fp = np.cumsum(y), np.cumsum(1 - y)
+    f1 = 2 * tp / max(1, ones) * prior / (tp / max(1, ones) * prior + fp / max(1, zeros) * (1 - prior) + prior)
+    ends = np.append(z[1:] != z[:-1], False)  # the last cut rejects all
+    sure = (ratio(tp, fp, ones, zeros) >= APART) & (tp * zeros > fp * ones)
+    f1 = np.where(ends & sure, f1, -1.0)
     k = int(np.argmax(f1))
-    return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 1)) / 2)
+    return float((z[k] + z[k + 1]) / 2) if f1[k] > 0 else None
 
 
 def train(texts: list[str], labels: list[int], prior: float = 0.1, cut: float = CUT) -> Model:
-    """Dictionaries from two thirds of the rows, the curve and its cut from the rest. Order matters only there.
+    """Dictionaries from all rows; the curve and its cut from measures by dictionaries of the other folds.
 
-    Without rows of both classes every document scores the same, below the cut.
+    Likely copies count once. Without rows of both classes, without telling grams, or with scores that don't tell the
+    classes apart, every document scores the same, below the cut.
     """
-    y = np.array(labels, dtype=float)
-    if len(set(labels)) < 2:
-        return Model(b"", b"", (-3.0, 0.0, 0.0), 0.0)
-    number = np.zeros(len(y), dtype=int)
-    for v in (0, 1):
-        number[y == v] = np.arange((y == v).sum())
-    fit = (number % 3 != 2) | (len(y) < 12)
-    check = (number % 3 == 2) | (len(y) < 12)
-    raw = [plain(t) for t in texts]
-    toxic = _spread([r for r, v, f in zip(raw, y, fit, strict=True) if v == 1 and f])
-    ordinary = [r for r, v, f in zip(raw, y, fit, strict=True) if v == 0 and f]
-    model = Model(segments(toxic, ordinary), ordinary_content(ordinary), (0.0, 0.0, 0.0), 0.0)
-    both = model.compressors()
-    x = np.array([model.saved(t, both) for t, c in zip(texts, check, strict=True) if c])
-    w = logistic(x, y[check])
-    z = w[0] + x @ w[1:]
-    return Model(model.toxic, model.ordinary, tuple(w.tolist()), math.log(cut / (1 - cut)) - best_cut(z, y[check], prior))
+    nothing = Model(b"", b"", (-3.0,), 0.0)
+    kept: dict[int, list[bytes]] = {v: _spread([plain(t) for t, y in zip(texts, labels, strict=True) if y == v]) for v in (0, 1)}
+    if not kept[0] or not kept[1]:
+        return nothing
+    toxic, ordinary = dictionaries(kept[1], kept[0])
+    if not toxic:
+        return nothing
+    x, y = [], []
+    for k in range(FOLDS):
+        seen = {v: [t for i, t in enumerate(ts) if i % FOLDS != k] for v, ts in kept.items()}
+        part = Model(*dictionaries(seen[1], seen[0]), (0.0,), 0.0)
+        both = part.compressors()
+        for v, ts in kept.items():
+            x += [part.measures(t.decode(), both) for t in ts[k::FOLDS]]
+            y += [v] * len(ts[k::FOLDS])
+    x, y = np.array(x), np.array(y, float)
+    w = logistic(x, y, 1e-3)
+    if (at := best_cut(w[0] + x @ w[1:], y, prior)) is None:
+        return nothing
+    return Model(toxic, ordinary, tuple(w.tolist()), math.log(cut / (1 - cut)) - at)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float = CUT) -> Model:
