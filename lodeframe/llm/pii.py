@@ -25,6 +25,7 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "local_phone", "disguised_email")
 KINDS = BASE + ADDED
 CUT = 0.5
+TRUST, RIGHT = 20.0, 0.8  # votes a labeler is given in advance, and the share of them that is right
 
 HINT = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -75,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             last = max(last, at + 1)
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -187,30 +188,28 @@ def _features(votes: tuple[int, ...], shape: tuple[int, ...]) -> np.ndarray:
 def em(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """Posterior of each vote pattern and, per labeler, P(yes | hit) and P(no | miss) among its votes.
 
-    Starts from the sum of votes; a labeler's table is smoothed by one vote that is right.
+    Starts from the sum of votes. Each labeler's table of P(vote | hit or miss) has a prior of TRUST votes, most of them
+    right; votes beyond them decide, so a labeler that votes against the others loses its weight or has it turned.
+    Saying nothing counts for neither.
     """
     q = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) - 0.5 * (votes > 0).any(axis=1) + 0.25))
-    values = (-1, 0, 1)
+    said = [[votes[:, j] == v for v in (-1, 1)] for j in range(votes.shape[1])]
+    tables = []
     for _ in range(rounds):
         prior = (counts @ q + 1) / (counts.sum() + 2)
         log = np.log(prior) - np.log(1 - prior) + np.zeros(len(q))
-        for j in range(votes.shape[1]):
-            has = np.array([[counts @ (q * (votes[:, j] == v)) + 0.5 + (v == 1), counts @ ((1 - q) * (votes[:, j] == v)) + 0.5 + (v == -1)] for v in values])
-            p = has / has.sum(axis=0)
-            ratio = np.log(p[:, 0]) - np.log(p[:, 1])
-            ratio[0], ratio[1], ratio[2] = min(ratio[0], -1.0), 0.0, max(ratio[2], 1.0)  # no vote says nothing; a vote counts
-            log += ratio[votes[:, j] + 1]
+        tables = []
+        for no, yes in said:
+            hit = np.array([counts @ (q * no) + TRUST * (1 - RIGHT), counts @ (q * yes) + TRUST * RIGHT]) / (counts @ q + TRUST)
+            miss = np.array([counts @ ((1 - q) * no) + TRUST * RIGHT, counts @ ((1 - q) * yes) + TRUST * (1 - RIGHT)]) / (counts @ (1 - q) + TRUST)
+            tables.append((hit, miss))
+            log += np.where(no, np.log(hit[0] / miss[0]), 0.0) + np.where(yes, np.log(hit[1] / miss[1]), 0.0)
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
         done = np.abs(new - q).max() < 1e-6
         q = new
         if done:
             break
-    rel = []
-    for j in range(votes.shape[1]):
-        yes, no = votes[:, j] == 1, votes[:, j] == -1
-        a, b = counts @ (q * yes), counts @ ((1 - q) * no)
-        rel.append((float((a + 1) / (counts @ yes + 2)), float((b + 1) / (counts @ no + 2))))
-    return q, rel
+    return q, [(float(hit[1] / hit.sum()), float(miss[0] / miss.sum())) for hit, miss in tables]
 
 
 def train(patterns: dict[str, int]) -> Model:
