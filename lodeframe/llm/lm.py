@@ -1,15 +1,21 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a word trigram model over all training texts, smoothed by absolute discounting with backoff; its unigram
-level is the add-one estimate, so every text has a probability. States are the contexts that have arcs; an arc
-carries a word's log-probability and leads to the longest context that ends there; the failure arc of a state carries
-its backoff weight and leads to the context without its first word. A text is scored in one traversal from left to
-right.
-
-Every word of every training text is counted, and every bigram and trigram; n-grams that occur at least twice are arcs, at
-any corpus size. Nothing of the model is broadcast: texts are dealt into groups, each group asks for its own words and
-n-grams in one table that counts them too, and is told by a join the arcs and failure weights it can meet. Words and
-n-grams go by 64-bit hashes. ``build`` is the same automaton in one process; tests hold the told arcs against it.
+The model is a word trigram model over all training texts with Dirichlet smoothing (MacKay & Peto 1995): with the counts c
+of a context h and of what follows it, and h' the context without its first word,
+
+    p(w | h) = (c(h w) + M p(w | h')) / (c(h) + M),        p(w) = (c(w) + 1) / (N + V + 1).
+
+States are the contexts that occur. A word that follows a context is an arc with the log of p(w | h), leading to the
+longest context that ends there. For any other word the state's failure arc, of weight M / (c(h) + M), leads to h'.
+A text is scored in one traversal from left to right; the weights passed add up to its log-probability.
+
+Every n-gram that occurs is in the model, at any corpus size, and nothing of the model is broadcast. Texts are dealt into
+groups of bounded size that ask for the counts of their own words, then bigrams, then trigrams. An n-gram doesn't
+occur oftener than either of its halves, so where a half occurs in this group alone, in training and held-out texts, no other group
+has anything to tell and nothing is asked. Asked n-grams go by 64-bit hash to buckets, where the groups' counts
+are added up; buckets are ranges of the hash, so a frequent word or context is one key in one bucket. The
+answers come back in the order asked, without keys. ``build`` is the
+same automaton in one process; tests hold the scores against its traversal.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, fold, parts
 
 MOD, HELD = 7, 2
-LEAST, DISCOUNT, SEED = 2, 0.5, 42
-GROUP_CHARS, FLUSH, FLUSH_CHARS = 7_000_000, 400_000, 20_000_000
+MASS, SEED = 100.0, 42  # M, the words that a context's prior weighs
+GROUP_CHARS, BUCKET_CHARS, FLUSH, FLUSH_CHARS = 7_000_000, 32_000_000, 400_000, 20_000_000
 START = 0  # number of the begin-of-text context; 1 is the end token, words follow
 STOP = 1
 
@@ -69,244 +75,248 @@ def _encode(texts: list[str], hashes: Hashes) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _grams(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, context, suffix) of every word, bigram and trigram of encoded texts."""
-    inside = w[1:] != FIRST
-    two = mix(w[:-1], w[1:])
-    both = inside[:-1] & inside[1:]
-    none = np.zeros(len(w), np.uint64)
-    return [(w, none, none), (two[inside], w[:-1][inside], w[1:][inside]), (mix(two[:-1], w[2:])[both], two[:-1][both], two[1:][both])]
-
-
-ASKED = ["pid", "o", "k", "ctx", "suf", "n"]
-
-
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pid, order, key, context, suffix, n): what occurs in a group, with its count in the training texts."""
-    seen: dict[int, tuple[list, list]] = {}
-    size, hashes = 0, Hashes()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for pid, texts in seen.items():
-            train, held = (_grams(_encode(t, hashes)) if t else None for t in texts)
-            for o in range(3):
-                cols = [np.concatenate([x[o][c] for x in (train, held) if x]) for c in range(3)]
-                k, at, back = np.unique(cols[0], return_index=True, return_inverse=True)
-                n = np.bincount(back[: len(train[o][0])], minlength=len(k)) if train else np.zeros(len(k), np.int64)
-                signed = [x.view(np.int64) for x in (k, cols[1][at], cols[2][at])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), pid, np.int64)), pa.array(np.full(len(k), o + 1, np.int32)), *map(pa.array, signed), pa.array(n.astype(np.int64))], ASKED)
-        seen.clear()
-
-    for b in batches:
-        for pid, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            text = t.as_py()
-            seen.setdefault(pid, ([], []))[held_out].append(text)
-            size += len(text)
-            if size > FLUSH_CHARS:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
-def _kept(least: int):
-    """Of asked rows in order of key: each word that occurs in training, each n-gram that occurs ``least`` times, and who asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-            pid, o, k, ctx, suf, n = cols
-            total, length = np.add.reduceat(n, starts), np.diff([*starts, len(k)])
-            keep = total >= np.where(o[starts] == 1, 1, least)
-            ends = np.concatenate([[0], np.cumsum(length[keep])])
-            pids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pid[np.repeat(keep, length)]))
-            return pa.RecordBatch.from_arrays([*(pa.array(c[starts[keep]]) for c in (o, k, ctx, suf)), pa.array(total[keep]), pids], ["o", "k", "ctx", "suf", "n", "pids"])
-
-        for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
-            if b.num_rows == 0 or held[0][2][0] == held[-1][2][-1]:  # one key so far
-                held = [h for h in held if len(h[0])]
-                continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            new = np.flatnonzero(np.diff(cols[2]) != 0) + 1
-            yield out([c[: new[-1]] for c in cols], np.concatenate([[0], new[:-1]]))
-            held = [[c[new[-1] :] for c in cols]]
-        if held:
-            yield out([np.concatenate(c) for c in zip(*held, strict=True)], np.array([0]))
-
-    return run
-
-
 @dataclass
 class Automaton:
-    """arcs: state * base + word -> (log10 p, state); fail and weight by state; state 0 is the root."""
+    """arcs: state -> word -> (log10 p, state); fail and weight by state; state 0 is the root."""
 
-    base: int
     start: int = 0
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
+    arcs: list[dict[int, tuple[float, int]]] = field(default_factory=lambda: [{}])
     fail: list[int] = field(default_factory=lambda: [0])
     weight: list[float] = field(default_factory=lambda: [0.0])
 
     def traverse(self, words: list[int], root: list[float]) -> float:
         """log10 probability of a text: ``words`` are vocabulary numbers or -1, ``root`` their log10 p at the root."""
-        total, s, base = 0.0, self.start, self.base
-        get, fail, weight = self.arcs.get, self.fail, self.weight
+        total, s = 0.0, self.start
         for w, p in zip(words, root, strict=True):
-            if w < 0:
-                while s:
-                    total += weight[s]
-                    s = fail[s]
-                total += p
-                continue
-            while (a := get(s * base + w)) is None and s:
-                total += weight[s]
-                s = fail[s]
-            if a is None:
-                total += p
-            else:
-                total += a[0]
-                s = a[1]
+            while (a := self.arcs[s].get(w)) is None and s:
+                total += self.weight[s]
+                s = self.fail[s]
+            total += p if a is None else a[0]
+            s = 0 if a is None else a[1]
         return total
 
 
-def build(words: dict[int, int], grams: dict[int, int], base: int, n: int, v: int, docs: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of counted words (by number) and n-grams (by key, in base ``base``)."""
-    total = n + v + 1
-    count = {**words, START: docs, STOP: docs}
-    p1 = {w: (c + 1) / total for w, c in count.items() if w != START}
-    two: dict[int, list[tuple[int, int]]] = {}
-    three: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    pair: dict[tuple[int, int], int] = {}
-    for key, c in sorted(grams.items()):
-        rest, w = divmod(key, base)
-        g, h = divmod(rest, base)
-        if g:
-            three.setdefault((g - 2, h - 2), []).append((w - 2, c))
-        else:
-            two.setdefault(h - 2, []).append((w - 2, c))
-            pair[h - 2, w - 2] = c
-    auto = Automaton(base)
-    state: dict[tuple[int, ...], int] = {}
-    for h in [(h,) for h in sorted(two)] + sorted(three):
+def build(counts: dict[tuple[int, ...], int], docs: int, mass: float = MASS) -> Automaton:
+    """The automaton of counted words, bigrams and trigrams, as tuples of numbers; START is counted ``docs`` times."""
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    seen = {**counts, (START,): docs}
+    auto, state = Automaton(), {(): 0}
+    for h in sorted({g[:-1] for g in counts if len(g) > 1}, key=len):
         state[h] = len(auto.fail)
-        auto.fail.append(0)
-        auto.weight.append(0.0)
-
-    def longest(*context: int) -> int:
-        while context and context not in state:
-            context = context[1:]
-        return state.get(context, 0)
-
-    p2: dict[tuple[int, int], float] = {}
-    for h, follow in two.items():
-        s, kept, below = state[h,], 0.0, 0.0
-        for w, c in follow:
-            p = p2[h, w] = (c - discount) / count[h]
-            kept += p
-            below += p1[w]
-            auto.arcs[s * base + w] = (math.log10(p), longest(h, w))
-        auto.weight[s] = math.log10(max(1e-300, 1 - kept) / max(1e-300, 1 - below))
-    for (g, h), follow in three.items():
-        s, kept, below = state[g, h], 0.0, 0.0
-        for w, c in follow:
-            p = (c - discount) / pair[g, h]
-            kept += p
-            below += p2[h, w]
-            auto.arcs[s * base + w] = (math.log10(p), longest(h, w))
-        auto.fail[s] = longest(h)
-        auto.weight[s] = math.log10(max(1e-300, 1 - kept) / max(1e-300, 1 - below))
-    for w, p in p1.items():
-        auto.arcs[w] = (math.log10(p), longest(w))
-    auto.start = longest(START)
+        auto.arcs.append({})
+        auto.fail.append(state.get(h[1:], 0))
+        auto.weight.append(math.log10(mass / (seen[h] + mass)))
+
+    def longest(h: tuple[int, ...]) -> int:
+        while h not in state:
+            h = h[1:]
+        return state[h]
+
+    p: dict[tuple[int, ...], float] = {}
+    for g in sorted(counts, key=len):
+        p[g] = (counts[g] + 1) / (n + v + 1) if len(g) == 1 else (counts[g] + mass * p[g[1:]]) / (seen[g[:-1]] + mass)
+        auto.arcs[state[g[:-1]]][g[-1]] = (math.log10(p[g]), longest(g[-2:]))
+    auto.start = longest((START,))
     return auto
 
 
-def arcs(grams: DataFrame, total: int, discount: float = DISCOUNT) -> DataFrame:
-    """(pids, k, n, v, w) of kept words and n-grams.
+def _pack(x: np.ndarray) -> bytes:
+    """8-byte numbers as byte planes: the high bytes of sorted keys and of small counts are runs, which compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
-    v is log10 of an n-gram's probability over that of its last word at the root, w the log10 failure weight of the
-    context that it is; n is a word's count.
+
+class Group:
+    """The texts of a group, and the counts that it learns level by level: words, bigrams, trigrams.
+
+    For each level: ``keys``, what occurs, sorted; ``at``, where each position's n-gram is among the keys; ``own``, two rows,
+    how often in the group's training texts and in its held-out texts; ``total``, the same of all groups, once told.
     """
-    one = grams.where("o = 1").select("k", "n", "pids")
 
-    def joined(df: DataFrame, lower: DataFrame, on: str, **cols: str) -> DataFrame:
-        return df.join(lower.select(F.col("k").alias("_k"), *[F.col(c).alias(a) for a, c in cols.items()]), F.col(on) == F.col("_k")).drop("_k")
+    def __init__(self, bundles: pa.Table):
+        rows = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in bundles.column("texts")]
+        self.rows = pa.concat_tables(rows)
+        held, texts = self.rows.column("held_out").to_numpy(), self.rows.column("text")
+        hashes = Hashes()
+        some = [_encode(texts.slice(i, 512).to_pylist(), hashes) for i in range(0, len(texts), 512)]
+        self.words = np.concatenate(some)
+        self.first = np.flatnonzero(self.words == FIRST)
+        self.length = np.diff([*self.first, len(self.words)])
+        self.train = np.repeat(~held, self.length)
+        self.inside = self.words != FIRST  # has a word before it
+        self.levels: list[dict] = []
+
+    def level(self) -> dict:
+        """The next level, its totals not told yet; ``ask`` marks the keys whose total isn't known for sure."""
+        if not self.levels:
+            whole, there = self.words, np.ones(len(self.words), bool)
+        elif len(self.levels) == 1:
+            whole, there = np.append(np.uint64(0), mix(self.words[:-1], self.words[1:])), self.inside
+        else:
+            two = np.append(np.uint64(0), mix(self.words[:-1], self.words[1:]))
+            whole = np.append(np.uint64(0), mix(two[:-1], self.words[1:]))
+            there = self.inside & np.append(False, self.inside[:-1])
+        keys, index, back = np.unique(whole[there], return_index=True, return_inverse=True)
+        at = np.full(len(whole), -1)
+        at[there] = back
+        own = np.array([np.bincount(back[x[there]], minlength=len(keys)) for x in (self.train, ~self.train)], np.int64)
+        new = {"keys": keys, "at": at, "own": own, "total": own.copy(), "ask": np.ones(len(keys), bool)}
+        if self.levels:
+            below = self.levels[-1]
+            where = np.flatnonzero(there)[index]
+            seen = below["total"].sum(axis=0)
+            new["ask"] = np.minimum(seen[below["at"][where]], seen[below["at"][where - 1]]) > own.sum(axis=0)
+        self.levels.append(new)
+        return new
+
+    def ask(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(bucket, keys, own counts) of the next level; buckets are ranges of the hash's first ``bits`` bits."""
+        new = self.level()
+        keys, own = new["keys"][new["ask"]], new["own"][:, new["ask"]]
+        ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        for b, (k, n) in enumerate(zip(np.split(keys, ends), np.split(own, ends, axis=1), strict=True)):
+            if len(k):
+                yield b, _pack(k), _pack(n.reshape(-1))
+
+    def told(self, answers: list[tuple[int, bytes]]) -> None:
+        """Adds to the next level's totals what other groups counted, given by bucket."""
+        new = self.level()
+        if answers:
+            new["total"][:, new["ask"]] += np.concatenate([_unpack(x).reshape(2, -1) for _, x in sorted(answers)], axis=1).astype(np.int64)
+
+    def scores(self, total: int, mass: float) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and the traversal's score of each text."""
+        one, two, three = (np.where(x["at"] < 0, 0, np.append(x["total"][0], 0)[x["at"]]) for x in self.levels)
+        before = lambda x: np.append(0, x[:-1])
+        root = (one + 1) / total
+        p2 = (two + mass * root) / (before(one) + mass)
+        p3 = (three + mass * p2) / (before(two) + mass)
+        fail = lambda h: np.log10(mass / (before(h) + mass))  # noqa: E731  a context that doesn't occur weighs nothing
+        up = np.where(three > 0, np.log10(p3), fail(two) + np.where(two > 0, np.log10(p2), fail(one) + np.log10(root)))
+        base, word = np.where(self.inside, np.log10(root), 0.0), np.where(self.inside, up, 0.0)
+        known = (one > 0) & self.inside
+        return self.length - 1, np.add.reduceat(known.astype(np.int64), self.first), np.add.reduceat(base, self.first), np.add.reduceat(word, self.first)
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, texts): the rows of a group as a compressed Arrow stream."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        pids = rows.column("pid").to_numpy()
+        for pid in np.unique(pids):
+            own = rows.filter(pa.array(pids == pid)).drop_columns("pid").combine_chunks()
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(own)
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([out.getvalue().to_pybytes()])], ["pid", "texts"])
+
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size > FLUSH_CHARS:
+            yield from flush()
+            size = 0
+    if held:
+        yield from flush()
+
 
-    def weights(df: DataFrame) -> DataFrame:
-        left = lambda c: F.greatest(F.lit(1e-300), 1 - F.sum(c))
-        return df.groupBy("ctx").agg(F.log10(left("p") / left("below")).alias("w")).withColumnRenamed("ctx", "_c")
+ASKED, ANSWER = "b int, pid long, k binary, own binary", "pid long, o int, b int, more binary, n long, v long"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    cols = [c.split() for c in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(cols)], names=[c for c, _ in cols])
+
+
+def _answers(order: int):
+    """For each group that asks in a bucket, in the order asked, what the other groups counted."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        keys, own = ([_unpack(x.as_py()) for x in asked.column(c)] for c in ("k", "own"))
+        flat = np.concatenate([x.reshape(2, -1) for x in own], axis=1).astype(np.int64)
+        names, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros((2, len(names)), np.int64)
+        for mine, all_of in zip(flat, total, strict=True):
+            np.add.at(all_of, back, mine)
+        words = (total[0] > 0) & (names != FIRST)
+        summary = (int(total[0][words].sum()), int(words.sum()))
+        more = [x.reshape(-1) for x in np.split(total[:, back] - flat, np.cumsum([len(k) for k in keys])[:-1], axis=1)]
+        b = asked.column("b")[0].as_py()
+        rows = zip(asked.column("pid").to_pylist(), more, strict=True)
+        return _table(ANSWER, [(pid, order, b, _pack(x), *(summary if i == 0 else (0, 0))) for i, (pid, x) in enumerate(rows)])
+
+    return run
 
-    def told(df: DataFrame, n, v, above: DataFrame | None = None) -> DataFrame:
-        df = df.withColumn("w", F.lit(0.0)) if above is None else df.join(above, F.col("k") == F.col("_c"), "left")
-        return df.select("pids", "k", n.cast("long").alias("n"), v.cast("double").alias("v"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
-    two = joined(joined(grams.where("o = 2"), one, "ctx", seen="n"), one, "suf", root="n")
-    two = two.select("k", "ctx", "n", "pids", ((F.col("n") - discount) / F.col("seen")).alias("p"), ((F.col("root") + 1) / total).alias("below"))
-    two = cut(two.withColumn("root", F.col("below")), "lm-bigrams")
-    three = joined(joined(grams.where("o = 3"), two, "ctx", seen="n"), two, "suf", below="p", root="root")
-    three = cut(three.select("k", "ctx", "pids", ((F.col("n") - discount) / F.col("seen")).alias("p"), "below", "root"), "lm-trigrams")
-    v = F.log10(F.col("p") / F.col("root"))
-    return told(one, F.col("n"), F.lit(0.0), weights(two)).unionByName(told(two, F.lit(0), v, weights(three))).unionByName(told(three, F.lit(0), v))
+def _rebuilt(bundles: pa.Table, told: pa.Table | None, levels: int) -> Group:
+    group = Group(bundles)
+    cols = [told.column(c).to_pylist() for c in ("o", "b", "more")] if levels else [[]] * 3
+    for o in range(levels):
+        group.told([(b, x) for at, b, x in zip(*cols, strict=True) if at == o + 1])
+    return group
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, mod: int = MOD, held: int = HELD, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, mod: int = MOD, held: int = HELD, mass: float = MASS) -> DataFrame:
     """Scores every row of ``docs`` with a model of the rows outside the held-out fold.
 
-    N-grams that occur ``least`` times in training are arcs. A null or empty text is one end token. Repeated rows count
+    Every word, bigram and trigram of the training rows is in the model. A null or empty text is one end token. Repeated rows count
     as often as they occur, null ids count as the empty text in the fold. Without training rows every token has
     probability 1. An empty table gives an empty result. Other columns aren't read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "held_out", fold("doc_id", mod) == held
     )
-    # A group is part of a file split, so that a task that reads a split asks for each word and n-gram of a group once.
+    # A group is part of a file split, so that one task bundles it.
     place = [F.input_file_name(), F.input_file_block_start()]
     sizes = own.groupBy(*place).agg(F.sum(F.length("text")).alias("c")).agg(F.count("*"), F.sum("c")).first()
-    within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts(sizes[1] or 0, GROUP_CHARS * max(1, sizes[0]))))
-    dealt = own.withColumn("pid", F.xxhash64(*place, within))
-    asked = dealt.select("pid", "text", "held_out").mapInArrow(_asks, "pid long, o int, k long, ctx long, suf long, n long")
-    grams = asked.repartition("k").sortWithinPartitions("k").mapInArrow(_kept(least), "o int, k long, ctx long, suf long, n long, pids array<long>")
-    grams = cut(grams, "lm-grams")
-    start = int(np.uint64(FIRST).astype(np.int64))
-    n, v = grams.where((F.col("o") == 1) & (F.col("k") != start)).agg(F.sum("n"), F.count("*")).first()
-    n = n or 0
-    total = n + v + 1
+    chars = sizes[1] or 0
+    within = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts(chars, GROUP_CHARS * max(1, sizes[0]))))
+    dealt = own.select("doc_id", "text", "held_out", F.xxhash64(*place, within).alias("pid"))
+    bundles = cut(dealt.mapInArrow(_bundles, "pid long, texts binary"), "lm-texts")
+    bits = (parts(chars, BUCKET_CHARS) - 1).bit_length()
+
+    def asks(texts: pa.Table, told: pa.Table | None, levels: int) -> pa.Table:
+        if not texts.num_rows:
+            return _table(ASKED, [])
+        pid = texts.column("pid")[0].as_py()
+        return _table(ASKED, [(b, pid, k, n) for b, k, n in _rebuilt(texts, told, levels).ask(bits)])
+
+    def words(texts: pa.Table) -> pa.Table:
+        return asks(texts, None, 0)
+
+    def bigrams(texts: pa.Table, told: pa.Table) -> pa.Table:
+        return asks(texts, told, 1)
+
+    def trigrams(texts: pa.Table, told: pa.Table) -> pa.Table:
+        return asks(texts, told, 2)
+
+    told = None
+    for o, ask in enumerate((words, bigrams, trigrams), 1):
+        groups = bundles.groupBy("pid")
+        asked = groups.applyInArrow(ask, ASKED) if told is None else groups.cogroup(told.groupBy("pid")).applyInArrow(ask, ASKED)
+        more = cut(asked.groupBy("b").applyInArrow(_answers(o), ANSWER), f"lm-told-{o}")
+        if told is None:
+            n, v = (x or 0 for x in more.agg(F.sum("n"), F.sum("v")).first())
+        told = more if told is None else told.unionByName(more)
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        k = told.column("k").to_numpy().view(np.uint64)
-        order = np.argsort(k)
-        # one entry more, for what wasn't told
-        keys = k[order]
-        count, value, weight = (np.append(told.column(c).to_numpy()[order], 0) for c in ("n", "v", "w"))
-
-        def find(x: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(keys, x)
-            return np.where(np.append(keys, 0)[at] == x, at, len(keys)) if len(keys) else np.zeros(len(x), np.int64)
-
-        hashes, parts_of = Hashes(), []
-        for at in range(0, texts.num_rows, 512):
-            w = _encode(texts.column("text").slice(at, 512).to_pylist(), hashes)
-            first = np.flatnonzero(w == FIRST)
-            word = find(w)
-            two = mix(w[:-1], w[1:])
-            pair = np.append(len(keys), find(two))  # of each position, with the word before it
-            pair[first] = len(keys)
-            three = np.append([len(keys)] * 2, find(mix(two[:-1], w[2:])))
-            three[np.concatenate([first, first + 1])] = len(keys)
-            before = lambda x: np.append(0.0, x[:-1])
-            up = np.where(pair < len(keys), value[pair], before(weight[word]))
-            up = np.where(three < len(keys), value[three], before(weight[pair]) + up)
-            root = np.log10((count[word] + 1) / total)
-            root[first] = up[first] = 0.0
-            known = (count[word] > 0) & (w != FIRST)
-            base, more = np.add.reduceat(root, first), np.add.reduceat(up, first)
-            parts_of.append((np.diff([*first, len(w)]) - 1, np.add.reduceat(known.astype(np.int64), first), base, base + more))
-        length, known, base, full = (np.concatenate(c) for c in zip(*parts_of, strict=True)) if parts_of else [np.empty(0)] * 4
-        cols = [texts.column("doc_id"), texts.column("held_out"), length.astype(np.int64), known.astype(np.int64), np.full(len(length), n, np.int64), base, full]
-        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in cols], names=[x.split()[0] for x in SCORED.split(", ")])
-
-    told = arcs(grams, total).select(F.explode("pids").alias("pid"), "k", "n", "v", "w")
-    return dealt.select("pid", "doc_id", "text", "held_out").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(run, SCORED)
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        if not texts.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], names=names)
+        group = _rebuilt(texts, told, 3)
+        length, known, base, full = group.scores(n + v + 1, mass)
+        rows = group.rows
+        return pa.table([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, (length, known, np.full(len(length), n, np.int64), base, full))], names=names)
+
+    return bundles.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(run, SCORED)
