@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,28 +14,65 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
+#: Spark's setting for deleting a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master (one machine, one process) gets one of its own; a cluster is refused,
+    as a folder of one machine would lose what other machines write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"lodeframe-shared-{os.getuid()}")
-        os.makedirs(found, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodeframe/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has used yet, in a folder of this application that goes when its driver ends."""
+    base = f"{shared_dir(spark)}/lodeframe/{spark.sparkContext.applicationId}"
+    files, at = _hadoop(spark, base)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: lineage ends there and lost executors don't matter."""
+    """``df`` as a table written to the shared folder: lineage ends there and lost executors don't matter.
+
+    Shuffle files of the plan that wrote it are of no use then; Spark deletes them when the write has ended.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote; nothing may read it any more."""
+    files, at = _hadoop(df.sparkSession, df._written)
+    files.delete(at, True)
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:

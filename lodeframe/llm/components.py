@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        now = cut(_small(_large(now)), "edges")
+        last, now = now, cut(_small(_large(now)), "edges")
+        release(last)
         after = mark(now)
         if after == before:
             break

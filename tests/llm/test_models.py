@@ -97,6 +97,50 @@ def test_windows_cover_whole_texts():
         assert sum(map(len, w)) >= len(raw) and w[-1][-1:] == raw[-1:] and raw.startswith(w[0])
 
 
+def test_saved_is_the_difference_of_plain_compressions():
+    model = toxicity.Model(b"worthless vermin scumbag", b" the of and in that with", (0.0,) * 9, 0.0)
+    both = model.compressors()
+    for t in (None, "", "x", "the vermin of it " * 40, "ä" * 500):
+        want = []
+        for w in toxicity.windows(toxicity.plain(t)):
+            size = []
+            for held in (model.ordinary, model.toxic + model.ordinary):
+                p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=toxicity.WINDOW, dict_size=len(held), min_match=toxicity.MATCH, write_content_size=False)
+                d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                small = zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(w)
+                assert zstandard.ZstdDecompressor(dict_data=d).decompress(small, max_output_size=4096) == w
+                size.append(len(small))
+            want.append(size[0] - size[1])
+        assert model.saved(t, both) == want and model.measures(t, both)[-2] == pytest.approx(math.log(len(want)))
+
+
+def test_nothing_is_rejected_where_nothing_tells_the_classes_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("of the and in that with on at".split()) for _ in range(60)) for _ in range(90)]
+    for labels in ([i % 3 == 0 for i in range(90)], [0] * 90, [1] * 90):
+        model = toxicity.train(texts, [int(x) for x in labels], 0.3)
+        both = model.compressors()
+        assert all(model.score(t, both) < toxicity.CUT for t in [*texts, "", None])
+    assert toxicity.train([], []).score("a", toxicity.train([], []).compressors()) < toxicity.CUT
+    assert toxicity.best_cut(np.zeros(40), np.repeat([0.0, 1.0], 20), 0.5) is None
+    z, y = np.concatenate([np.zeros(50), np.ones(10)]), np.concatenate([np.zeros(50), np.ones(10)])
+    assert toxicity.best_cut(z, y, 0.2) == 0.5
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = toxicity.keep_clean(small, toxicity.fit(small, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")))
+    assert kept.count() > 0.9 * small.count()
+
+
+def test_keep_clean_on_odd_rows(odd, spark):
+    model = toxicity.Model(b" worthless vermin scumbag", b" the of and", (-4.0, 3.0, 3.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0), 0.0)
+    both = model.compressors()
+    want = Counter((r["doc_id"], r["text"]) for r in odd.collect() if model.score(r["text"], both) < toxicity.CUT)
+    kept = toxicity.keep_clean(odd, model)
+    assert kept.columns == odd.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert toxicity.keep_clean(odd.limit(0), model).count() == 0
+    bad = spark.createDataFrame([(1, "you scumbag vermin worthless scumbag " * 5, "x"), (None, "you scumbag vermin worthless scumbag " * 5, None), (2, None, "y")], "doc_id long, text string, predicted string")
+    assert [r["doc_id"] for r in toxicity.keep_clean(bad, model).collect()] == [2]
+
+
 def test_planted_words_are_caught():
     rng = random.Random(3)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
@@ -206,72 +250,67 @@ def test_lm_base(request, which):
     assert lm.score(own.limit(0)).count() == 0
 
 
+def counted(texts: list[list]) -> tuple[dict, dict]:
+    """(number of each word, counts of all n-grams as tuples of numbers)."""
+    number = {w: i + 2 for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    counts: Counter = Counter()
+    for t in texts:
+        s = [lm.START, *(number[w] for w in t), lm.STOP]
+        counts.update((w,) for w in s[1:])
+        counts.update(zip(s, s[1:], strict=False))
+        counts.update(zip(s, s[1:], s[2:], strict=False))
+    return number, dict(counts)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
-def test_lm_keeps_every_ngram_that_occurs_twice(request, which):
-    held = request.getfixturevalue(which).collect()
+@pytest.mark.parametrize("group", [lm.GROUP_CHARS, 3000])
+def test_lm_score_is_the_automatons(request, which, group, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_CHARS", group)
+    monkeypatch.setattr(lm, "BUCKET_CHARS", group)
+    own = request.getfixturevalue(which)
+    held = own.collect()
     texts = [lm.tokens(r["text"]) for r in held if crc(r["doc_id"]) % 7 != 2]
-    count = Counter(w for t in texts for w in t)
-    number = {w: i + 2 for i, w in enumerate(sorted(count))}
-    base, grams = len(number) + 4, Counter()
-    for t in texts:
-        s = [lm.START + 2, *(number[w] + 2 for w in t), lm.STOP + 2]
-        grams.update(a * base + b for a, b in zip(s, s[1:], strict=False))
-        grams.update((a * base + b) * base + c for a, b, c in zip(s, s[1:], s[2:], strict=False))
-    n, v = sum(count.values()) + len(texts), len(count) + 1
-    auto = lm.build({number[w]: c for w, c in count.items()}, {k: c for k, c in grams.items() if c >= 2}, base, n, v, len(texts))
+    number, counts = counted(texts)
+    total = sum(c for g, c in counts.items() if len(g) == 1) + sum(len(g) == 1 for g in counts) + 1
+    auto = lm.build(counts, len(texts))
     want = Counter()
     for r in held:
-        t = lm.tokens(r["text"])
-        p = [math.log10((c + 1) / (n + v + 1)) for c in [*(count[w] for w in t), len(texts)]]
-        want[(r["doc_id"], round(auto.traverse([*(number.get(w, -1) for w in t), lm.STOP], p), 5))] += 1
-    assert Counter((r["doc_id"], round(r["score"], 5)) for r in lm.score(request.getfixturevalue(which)).collect()) == want
+        w = [*(number.get(w, -1) for w in lm.tokens(r["text"])), lm.STOP]
+        want[(r["doc_id"], round(auto.traverse(w, [math.log10((counts.get((x,), 0) + 1) / total) for x in w]), 5))] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in lm.score(own).collect()) == want
 
 
 def test_automaton_sums_to_one_and_equals_plain_backoff():
     rng = random.Random(4)
-    texts = [[rng.choice("abcde") for _ in range(rng.randint(1, 12))] for _ in range(200)]
-    number = {w: i + 2 for i, w in enumerate("abcde")}
-    base = len(number) + 4
-    words, two, three = Counter(), Counter(), Counter()
-    for t in texts:
-        s = [lm.START, *(number[w] for w in t), lm.STOP]
-        words.update(s[1:-1])
-        two.update(zip(s, s[1:], strict=False))
-        three.update(zip(s, s[1:], s[2:], strict=False))
-    two = {k: c for k, c in two.items() if c >= 12}
-    three = {k: c for k, c in three.items() if c >= 12 and k[:2] in two and k[1:] in two}
-    grams = {(a + 2) * base + b + 2: c for (a, b), c in two.items()} | {((a + 2) * base + b + 2) * base + c + 2: n for (a, b, c), n in three.items()}
-    n, v = sum(words.values()) + 200, len(words) + 1
-    auto = lm.build(dict(words), grams, base, n, v, 200)
-    count = {**words, lm.START: 200, lm.STOP: 200}
-    p1 = {w: (count[w] + 1) / (n + v + 1) for w in [*number.values(), lm.STOP]} | {-1: 1 / (n + v + 1)}
+    texts = [[rng.choice("abcde") for _ in range(rng.randint(1, 12))] for _ in range(40)]
+    number, counts = counted(texts)
+    auto = lm.build(counts, len(texts), mass=3.0)
+    seen = {**counts, (lm.START,): len(texts)}
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
 
     def p(w, *h):
         if not h:
-            return p1[w]
-        table = {k[-1]: c for k, c in (three if len(h) == 2 else two).items() if k[:-1] == h}
-        if not table or w < 0 and not table:
-            return p(w, *h[1:])
-        total = two[h] if len(h) == 2 else count[h[0]]
-        if w in table:
-            return (table[w] - 0.5) / total
-        left = 1 - sum((c - 0.5) / total for c in table.values())
-        return left / (1 - sum(p(x, *h[1:]) for x in table)) * p(w, *h[1:])
-
-    for h in [(), (2,), (lm.START,), (2, 3), (lm.START, 2)]:
-        if h == () or h[-1:] and all(len(h) < 2 or h in two for _ in (0,)):
-            assert sum(p(w, *h) for w in p1) == pytest.approx(1.0)
-    for t in texts[:60]:
+            return (counts.get((w,), 0) + 1) / (n + v + 1)
+        return (counts.get((*h, w), 0) + 3.0 * p(w, *h[1:])) / (seen.get(h, 0) + 3.0)
+
+    every = [*number.values(), lm.STOP, -1]  # -1: all unknown words together
+    for h in [(), (2,), (lm.START,), (2, 3), (lm.START, 2), (5, 5)]:
+        assert sum(p(w, *h) for w in every) == pytest.approx(1.0)
+    for t in texts[:20]:
         seq = [number[w] for w in t]
         if len(seq) > 3:
             seq[2] = -1
         seq.append(lm.STOP)
-        want, h = 0.0, [lm.START]
+        want, h = 0.0, (lm.START,)
         for w in seq:
-            context = () if h[-1] < 0 else (h[-1],) if len(h) < 2 or h[-2] < 0 else (h[-2], h[-1])
-            want += math.log10(p(w, *context))
-            h.append(w)
-        assert auto.traverse(seq, [math.log10(p1[w]) for w in seq]) == pytest.approx(want, abs=1e-9)
+            want += math.log10(p(w, *h))
+            h = (*h, w)[-2:]
+        assert auto.traverse(seq, [math.log10(p(w)) for w in seq]) == pytest.approx(want, abs=1e-9)
+
+
+def test_keys_and_counts_survive_packing():
+    x = np.array([0, 1, 2**63, 2**64 - 1, 12345], np.uint64)
+    assert np.array_equal(lm._unpack(lm._pack(x)), x) and len(lm._unpack(lm._pack(x[:0]))) == 0
 
 
 def test_model_beats_base_on_held_out_rows(bigger):
@@ -306,6 +345,42 @@ def test_base_spans_property():
     assert pii.base_spans("4" * 40000) == [] and len(pii.base_spans("w" * 40000 + "@x.de")) == 1
 
 
+def test_spans_of_very_long_runs(spark):
+    zeros = "0" * 5000
+    texts = [f"{zeros}1.1.1.1", f"{zeros}.1.1.1", f"1.{zeros}256.1.1", f"1.{zeros}255.1.1", "1" * 5000 + ".1.1.1", "+" + "1" * 2_000_000, "ab " * 700_000 + "x@y.zz", "." * 1_000_000]
+    assert [len([k for k, _, _ in pii.base_spans(t) if k == "ip"]) for t in texts[:5]] == [1, 1, 0, 1, 0]
+    assert pii.base_spans(texts[6]) == [("email", 2_100_000, 2_100_006)] and pii.base_spans(texts[7]) == []
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(df)
+    assert pii.find(df, model).agg({"n_ip": "sum"}).first()[0] == 3
+    assert "[IP]" in pii.mask(df, model).where("doc_id = 3").first()["text"]
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.text(alphabet="01.2", max_size=12), st.sampled_from([4299, 4301, 9000]), st.text(alphabet="01. -+", max_size=12))
+    def run(a, n, b):
+        want = [x for x in plain_spans(f"{a}{'0' * 40}{b}") if x[0] == "ip"]
+        assert len([x for x in pii.base_spans(f"{a}{'0' * n}{b}") if x[0] == "ip"]) == len(want)
+
+    run()
+
+
+def test_em_finds_out_unreliable_labelers():
+    rng = random.Random(6)
+    seen: Counter = Counter()
+    for _ in range(4000):
+        hit = rng.random() < 0.4
+        says = lambda right: (1 if hit == (rng.random() < right) else -1)  # noqa: E731, B023
+        seen[(says(0.95), says(0.9), says(0.9), says(0.5), says(0.1))] += 1
+    votes = np.array(list(seen))
+    q, rel = pii.em(votes, np.array(list(seen.values()), float))
+    assert all(a > 0.8 and b > 0.8 for a, b in rel[:3])
+    assert all(abs(x - 0.5) < 0.07 for x in rel[3]) and all(x < 0.25 for x in rel[4])
+    sure = {tuple(v): p for v, p in zip(votes.tolist(), q.tolist(), strict=True)}
+    assert sure[1, 1, 1, 1, -1] > 0.95 > 0.05 > sure[-1, -1, -1, 1, 1]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_pii(request, which):
     import hashlib
@@ -349,6 +424,7 @@ def test_pipeline_stages(spark, sf_dir, docs):
     for name, f in P.STAGES[:-1]:
         out = f(spark, at, sf_dir)
         assert sorted(out.columns) == sorted(docs.columns), name
+        assert out.count() > 0, name
         if name == "simhash":
             rows = at.collect()
             fps = [r["fp"] % 2**64 for r in simhash.fingerprints(at.select("doc_id", "text")).collect()]
