@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .common import cut, fold, parts
 
 MOD, HELD = 7, 2
 MASS, SEED = 100.0, 42  # M, the words that a context's prior weighs
-GROUP_CHARS, BUCKET_CHARS, FLUSH, FLUSH_CHARS = 7_000_000, 32_000_000, 400_000, 20_000_000
+GROUP_CHARS, BUCKET_CHARS, FLUSH_CHARS = 5_000_000, 8_000_000, 10_000_000
 START = 0  # number of the begin-of-text context; 1 is the end token, words follow
 STOP = 1
 
@@ -43,16 +44,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Hashes(dict):
-    """The 64-bit hash of each word, kept for up to FLUSH words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= FLUSH:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
 #: Tokens have no spaces, so no word is one of these.
 FIRST, LAST = (xxhash.xxh64_intdigest(w, SEED) for w in (b" start", b" end"))
 
@@ -65,14 +56,36 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _encode(texts: list[str], hashes: Hashes) -> np.ndarray:
-    """The words of all texts, each text between FIRST and LAST."""
-    out: list[int] = []
-    for t in texts:
-        out.append(FIRST)
-        out += map(hashes.__getitem__, tokens(t))
-        out.append(LAST)
-    return np.array(out, np.uint64)
+def _encode(texts: pa.Array) -> np.ndarray:
+    """The hashes of the words of all texts, each text between FIRST and LAST; every distinct word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    words = lists.flatten().dictionary_encode()
+    _, at, raw = words.dictionary.buffers()
+    at, raw = np.frombuffer(at, np.int64)[: len(words.dictionary) + 1], raw.to_pybytes() if raw else b""
+    cuts = at.tolist()
+    named = np.array([xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64)
+    code = words.indices.to_numpy()
+    real = (np.diff(at) > 0)[code]  # blanks at either end leave empty words
+    ends = np.cumsum(np.append(0, real))[np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))]
+    flat = named[code[real]]
+    out = np.empty(len(flat) + 2 * len(texts), np.uint64)
+    rows = np.arange(len(texts))
+    inside = np.ones(len(out), bool)
+    for at, mark in ((ends[:-1] + 2 * rows, FIRST), (ends[1:] + 2 * rows + 1, LAST)):
+        out[at] = mark
+        inside[at] = False
+    out[inside] = flat
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, at, back): the distinct values sorted, a place of each, and each value's key."""
+    order = np.argsort(x)
+    line = x[order]
+    new = np.append(True, line[1:] != line[:-1]) if len(x) else np.empty(0, bool)
+    back = np.empty(len(x), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return line[new], order[new], back
 
 
 @dataclass
@@ -137,11 +150,13 @@ class Group:
     """
 
     def __init__(self, bundles: pa.Table):
-        rows = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in bundles.column("texts")]
+        some, rows = [], []
+        for b in bundles.column("texts"):
+            whole = pa.ipc.open_stream(b.as_buffer()).read_all()
+            some += [_encode(x) for x in whole.column("text").chunks if len(x)]
+            rows.append(whole.drop_columns("text"))
         self.rows = pa.concat_tables(rows)
-        held, texts = self.rows.column("held_out").to_numpy(), self.rows.column("text")
-        hashes = Hashes()
-        some = [_encode(texts.slice(i, 512).to_pylist(), hashes) for i in range(0, len(texts), 512)]
+        held = self.rows.column("held_out").to_numpy()
         self.words = np.concatenate(some)
         self.first = np.flatnonzero(self.words == FIRST)
         self.length = np.diff([*self.first, len(self.words)])
@@ -159,8 +174,8 @@ class Group:
             two = np.append(np.uint64(0), mix(self.words[:-1], self.words[1:]))
             whole = np.append(np.uint64(0), mix(two[:-1], self.words[1:]))
             there = self.inside & np.append(False, self.inside[:-1])
-        keys, index, back = np.unique(whole[there], return_index=True, return_inverse=True)
-        at = np.full(len(whole), -1)
+        keys, index, back = distinct(whole[there])
+        at = np.full(len(whole), -1, np.int32)
         at[there] = back
         own = np.array([np.bincount(back[x[there]], minlength=len(keys)) for x in (self.train, ~self.train)], np.int64)
         new = {"keys": keys, "at": at, "own": own, "total": own.copy(), "ask": np.ones(len(keys), bool)}
@@ -168,7 +183,8 @@ class Group:
             below = self.levels[-1]
             where = np.flatnonzero(there)[index]
             seen = below["total"].sum(axis=0)
-            new["ask"] = np.minimum(seen[below["at"][where]], seen[below["at"][where - 1]]) > own.sum(axis=0)
+            halves = (seen[below["at"][x]] for x in (where, where - 1))
+            new["ask"] = np.minimum(*halves) > own.sum(axis=0)
         self.levels.append(new)
         return new
 
@@ -240,18 +256,20 @@ def _answers(order: int):
     """For each group that asks in a bucket, in the order asked, what the other groups counted."""
 
     def run(asked: pa.Table) -> pa.Table:
-        keys, own = ([_unpack(x.as_py()) for x in asked.column(c)] for c in ("k", "own"))
-        flat = np.concatenate([x.reshape(2, -1) for x in own], axis=1).astype(np.int64)
-        names, back = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = [_unpack(x.as_py()) for x in asked.column("k")]
+        ends = np.cumsum([0, *map(len, keys)])
+        names, _, back = distinct(np.concatenate(keys))
+        del keys
         total = np.zeros((2, len(names)), np.int64)
-        for mine, all_of in zip(flat, total, strict=True):
-            np.add.at(all_of, back, mine)
+        for i, x in enumerate(asked.column("own")):  # a group's keys are distinct
+            total[:, back[ends[i] : ends[i + 1]]] += _unpack(x.as_py()).reshape(2, -1).astype(np.int64)
         words = (total[0] > 0) & (names != FIRST)
         summary = (int(total[0][words].sum()), int(words.sum()))
-        more = [x.reshape(-1) for x in np.split(total[:, back] - flat, np.cumsum([len(k) for k in keys])[:-1], axis=1)]
-        b = asked.column("b")[0].as_py()
-        rows = zip(asked.column("pid").to_pylist(), more, strict=True)
-        return _table(ANSWER, [(pid, order, b, _pack(x), *(summary if i == 0 else (0, 0))) for i, (pid, x) in enumerate(rows)])
+        b, rows = asked.column("b")[0].as_py(), []
+        for i, (pid, x) in enumerate(zip(asked.column("pid").to_pylist(), asked.column("own"), strict=True)):
+            more = total[:, back[ends[i] : ends[i + 1]]] - _unpack(x.as_py()).reshape(2, -1).astype(np.int64)
+            rows.append((pid, order, b, _pack(more.reshape(-1)), *(summary if i == 0 else (0, 0))))
+        return _table(ANSWER, rows)
 
     return run
 

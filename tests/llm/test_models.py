@@ -432,3 +432,14 @@ def test_pipeline_stages(spark, sf_dir, docs):
         at = out
     assert P.STAGES[-1][1](spark, at, sf_dir).agg({"length": "sum"}).first()[0] > 0
     assert P.run(spark, sf_dir).count() > 0
+
+
+def test_words_are_hashed_in_order():
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["", " ", "a", " The  the\tcat\n", "x\x0by\x0cz\rq", "é É b c d", "\x1c a\x1fb", "A" * 3000, "\n\n b"]
+    want = []
+    for t in texts:
+        want += [lm.FIRST, *(xxhash.xxh64_intdigest(w, lm.SEED) for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())), lm.LAST]
+    assert lm._encode(pa.array(texts)).tolist() == want and len(lm._encode(pa.array([], pa.string()))) == 0
