@@ -7,13 +7,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import average_rank, correlation
+from .ranks import quantile_row, running, with_rank
+from .stats import correlation
 
 
 def fill(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
     """Missing cells at the column's exact median, or mean."""
-    f = (lambda c: F.percentile(c, 0.5)) if how == "median" else F.avg
-    stats = df.agg(*[f(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    return apply_fill(df, fit_fill(df, columns, how), columns)
+
+
+def fit_fill(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
+    """One row of what ``apply_fill`` puts into gaps: fitted on a training table, it fills any other."""
+    if how == "median":
+        q = quantile_row(df, {f"_v{i}": c for i, c in enumerate(columns)}, [0.5])
+        return q.select(*[F.col(f"_v{i}")[0].alias(f"_v{i}") for i in range(len(columns))])
+    return df.agg(*[F.avg(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+
+
+def apply_fill(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_v{i}")) for i, c in enumerate(columns)}
     return df.crossJoin(F.broadcast(stats)).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
@@ -182,15 +193,17 @@ def reconstruction(cells: DataFrame, group: str = "column") -> DataFrame:
 
     Constant sides give rank correlation 0, no variance gives ratio 1, no range gives 0.
     """
-    r = cells.withColumn("ra", average_rank("actual", group)).withColumn("rp", average_rank("pred", group))
+    r = with_rank(with_rank(cells, "actual", "ra", group), "pred", "rp", group)
     main = r.groupBy(group).agg(
         F.coalesce(correlation("ra", "rp"), F.lit(0.0)).alias("spearman"),
         F.when(F.var_pop("actual") > 0, F.var_pop("pred") / F.var_pop("actual")).otherwise(1.0).alias("variance_ratio"),
         F.when(F.max("actual") > F.min("actual"), F.sqrt(F.avg(F.pow(F.col("actual") - F.col("pred"), 2))) / (F.max("actual") - F.min("actual"))).otherwise(0.0).alias("nrmse"),
     )
-    pos = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c)).alias("k")
-    a, p = cells.select(group, "actual", pos("actual")), cells.select(group, "pred", pos("pred"))
-    w = a.join(p, [group, "k"]).groupBy(group).agg(F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("wasserstein"))
+    # The distance of two samples of one size is the area between their distribution functions.
+    sides = cells.select(group, F.inline(F.array(*[F.struct(F.col(c).alias("v"), F.lit(s).alias("s")) for c, s in (("actual", 1), ("pred", -1))])))
+    n = sides.groupBy(group, "v").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 1).alias("n"))
+    gap = F.abs(F.col("before_s") + F.col("s")) * (F.col("next") - F.col("v"))
+    w = running(n, "v", ["s", "n"], group).groupBy(group).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.max("all_n")).alias("wasserstein"))
     return main.join(w, group)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import average_rank
+from .ranks import running
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -86,18 +86,17 @@ def best_threshold(sweep: DataFrame, default: float = 0.5) -> DataFrame:
 
 def roc_auc(df: DataFrame, truth: str, score: str, *by: str) -> DataFrame:
     """(by.., auc) by average ranks (Mann-Whitney); null with one class only."""
-    r = df.withColumn("_r", average_rank(score, *by))
-    p, n = F.count_if(F.col(truth) == 1), F.count_if(F.col(truth) == 0)
-    s = F.sum(F.when(F.col(truth) == 1, F.col("_r")).otherwise(0.0))
-    return r.groupBy(*by).agg(F.when((p > 0) & (n > 0), (s - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    at = df.groupBy(*by, score).agg(F.count("*").alias("c"), F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
+    p, n = F.sum("p"), F.sum("n")
+    s = F.sum(F.col("p") * (F.col("before_c") + (F.col("c") + 1) / 2))
+    return running(at, score, ["c"], *by).groupBy(*by).agg(F.when((p > 0) & (n > 0), (s - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
 
 def roc_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, falling."""
     at = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    w = Window.orderBy(F.desc("threshold"))  # a row for each distinct score
-    every = Window.partitionBy()
-    return at.select("threshold", (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(every)).alias("fpr"))
+    rate = lambda c: (F.col(f"all_{c}") - F.col(f"before_{c}")) / F.col(f"all_{c}")
+    return running(at, "threshold", ["p", "n"]).select("threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def log_loss(df: DataFrame, truth: str, prob: str, eps: float = 1e-15) -> DataFrame:
@@ -120,7 +119,7 @@ def leaderboard(scores: DataFrame, model: str, value: str) -> DataFrame:
 def search_cuts(df: DataFrame, truth: str, score: str, start=(0.5, 1.5, 2.5), reach: float = 0.5, step: float = 0.05, passes: int = 3) -> tuple[list[float], float]:
     """(cuts, qwk) by a coordinate grid search; one table of (score to 4 places, truth) counts is read back.
 
-    Candidates keep the cuts ascending and within the range of scores; only strict improvements are taken.
+    Each search of a cut is centred on where the cut is, so that passes can travel. Candidates keep the cuts ascending and within the range of scores; only strict improvements are taken.
     """
     rows = df.groupBy(F.round(score, 4).alias("s"), F.col(truth).alias("t")).count().collect()
     s, t, n = (np.array([r[k] for r in rows], dtype=float) for k in range(3))
@@ -139,9 +138,10 @@ def search_cuts(df: DataFrame, truth: str, score: str, start=(0.5, 1.5, 2.5), re
     best = qwk(cuts)
     for _ in range(passes):
         for j in range(len(cuts)):
+            centre = cuts[j]
             for d in np.arange(-reach, reach + step / 2, step):
                 new = [*cuts]
-                new[j] = float(np.clip(start[j] + d, s.min(), s.max())) if len(s) else start[j]
+                new[j] = float(np.clip(centre + d, s.min(), s.max())) if len(s) else centre
                 if all(a < b for a, b in zip(new, new[1:], strict=False)) and (q := qwk(new)) > best:
                     cuts, best = new, q
     return cuts, best

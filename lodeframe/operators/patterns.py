@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import paa
+from .ranks import quantile_row
 
 
 def discretise(series: DataFrame, key: str, label: str, values: str, segments: int) -> DataFrame:
     """(key, label, seq): L, M or H for each segment mean, by the terciles of all means of the table."""
     means = series.select(key, label, paa(F.col(values), segments).alias("m")).where("m is not null")
-    cuts = means.select(F.explode("m").alias("v")).agg(F.percentile("v", F.array(F.lit(100 / 3 / 100), F.lit(200 / 3 / 100))).alias("q"))
+    cuts = quantile_row(means.select(F.explode("m").alias("v")), {"q": "v"}, [100 / 3 / 100, 200 / 3 / 100])
     symbol = lambda v: F.when(v < F.col("q")[0], "L").when(v < F.col("q")[1], "M").otherwise("H")
     return means.crossJoin(F.broadcast(cuts)).select(key, label, F.array_join(F.transform("m", symbol), "").alias("seq"))
 
@@ -60,8 +61,8 @@ def gap_pattern(pattern: str, gap: int) -> str:
     return f".{{0,{gap - 1}}}".join(pattern) if gap > 1 else pattern
 
 
-def frequent_gapped(seqs: DataFrame, share: float, gap: int, longest: int = 6) -> DataFrame:
-    """(pattern, length, n, support) with gaps, level by level; candidates join where tail equals head.
+def frequent_gapped(seqs: DataFrame, share: float, gap: int, longest: int | None = None) -> DataFrame:
+    """(pattern, length, n, support) with gaps, level by level until none is left; candidates join where tail equals head.
 
     A level's candidates are at most its frequent patterns times the alphabet. They are few, and broadcast.
     """
@@ -70,7 +71,7 @@ def frequent_gapped(seqs: DataFrame, share: float, gap: int, longest: int = 6) -
     spark = seqs.sparkSession
     level = [r[0] for r in seqs.select(F.explode(F.array_distinct(F.split("seq", ""))).alias("s")).where("s <> ''").groupBy("s").count().where(F.col("count") >= least).select("s").collect()]
     candidates, out = sorted(level), []
-    while candidates and len(candidates[0]) <= longest:
+    while candidates and (longest is None or len(candidates[0]) <= longest):
         table = spark.createDataFrame([(c, gap_pattern(c, gap)) for c in candidates], "pattern string, re string")
         hits = seqs.join(F.broadcast(table), F.expr("seq rlike re")).groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         kept = {r["pattern"]: r["n"] for r in hits.collect()}

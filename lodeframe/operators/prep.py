@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import draw
+from .ranks import hashed, running
 from .stats import missing_fraction, spearman
 
 
@@ -39,15 +40,14 @@ def labelled(df: DataFrame, label: str, drop: tuple[str, ...] = ()) -> DataFrame
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds Split: the first round(share * n) rows of each label in hashed order are Test, the rest Train."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(draw(seed, key), key))
-    return df.withColumn("Split", F.when(rank <= F.round(F.lit(share) * F.count("*").over(w)), "Test").otherwise("Train"))
+    ranked = hashed(df, draw(seed, key), key, label)
+    return ranked.withColumn("Split", F.when(F.col("_r") <= F.round(F.lit(share) * F.col("_n")), "Test").otherwise("Train")).drop("_r", "_n")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold 0..k-1, dealt round by round within each label in hashed order."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    ranked = hashed(df, draw(seed, key), key, label)
+    return ranked.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r", "_n")
 
 
 def subject_split(series: DataFrame, subject: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -71,19 +71,18 @@ def melt(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def cell_mask(df: DataFrame, key: str, columns: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
     """(key, column, value): floor(share * observed) cells of each column to hide, the first in hashed order."""
     cells = melt(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key, columns).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column")
-    rank = F.row_number().over(w.orderBy(draw(seed, "column", key), key))
-    return cells.withColumn("_r", rank).withColumn("_n", F.count("*").over(w)).where("_r <= floor(_n * " + str(share) + ")").drop("_r", "_n")
+    ranked = hashed(cells, draw(seed, "column", key), key, "column")
+    return ranked.where("_r <= floor(_n * " + str(share) + ")").drop("_r", "_n")
 
 
 def column_bootstrap(df: DataFrame, key: str, columns: list[str], seed: int = 42) -> DataFrame:
     """(key, column, value): each column resampled with replacement on its own, so joint structure is gone.
 
-    A cell takes the value ranked hash mod n in its column. The lookup is a join, so no column is collected.
+    A cell takes the value ranked hash mod n in its column, by ``key``, a unique number. The lookup is a join, so no
+    column is collected.
     """
     cells = melt(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key, columns).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column")
-    ranked = cells.withColumn("_r", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
+    ranked = running(cells.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], "column").withColumnsRenamed({"before__one": "_r", "all__one": "_n"})
     pick = F.conv(F.substring(draw(seed, "column", key), 1, 8), 16, 10).cast("long") % F.col("_n")
     wanted = ranked.select(key, "column", pick.alias("_p"))
     source = ranked.select(F.col("column").alias("_c"), F.col("_r").alias("_q"), "value")

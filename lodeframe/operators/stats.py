@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import join_groups, quantile_row, with_rank
+
 
 def missing_fraction(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing): one pass over the table, then a row for each column."""
@@ -39,16 +41,10 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline("x"))
 
 
-def average_rank(value: str, *by: str):
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, rho) for a before b; ranks are taken among the rows where both are observed.
 
-    Rows are unpivoted to pairs once, so every pair is ranked in the same two shuffles.
+    Rows are unpivoted to pairs once, so every pair is ranked in the same shuffles, its distinct values in ranges.
     """
     pairs = [(i, j) for i, j in combinations(range(len(columns)), 2)]
     cells = F.array(*[
@@ -56,7 +52,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
         for i, j in pairs
     ])
     long = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = long.withColumn("rx", average_rank("x", "a", "b")).withColumn("ry", average_rank("y", "a", "b"))
+    ranked = with_rank(with_rank(long, "x", "rx", "a", "b"), "y", "ry", "a", "b")
     return ranked.groupBy("a", "b").agg(correlation("rx", "ry").alias("rho"))
 
 
@@ -68,10 +64,9 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, *by
 
 def box_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Quartiles and extremes of each group, exact, by linear interpolation."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"), F.count(value).alias("n")).select(
-        *by, "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high", "n"
-    )
+    q = quantile_row(df, {"_q": value}, [0.25, 0.5, 0.75], *by)
+    ends = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    return join_groups(ends, q, *by).select(*by, "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high", "n")
 
 
 def group_outcome(df: DataFrame, flag: str, label: str) -> DataFrame:

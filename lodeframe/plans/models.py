@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import explain as X
-from ..operators import impute, metrics, outliers, prep, stats
+from ..operators import impute, metrics, outliers, prep, ranks, stats
 from ..operators import models as M
 from .inputs import COLUMNS, orders_table, series
 from .registry import query
@@ -141,7 +141,7 @@ def feature_importances(spark, sf):
 def lore_rule(spark, sf):
     predict, d = _scorer(spark, sf)
     x = list(d.orderBy("id").first()["x"])
-    cut = predict(d).agg(F.percentile("pred", 0.5)).first()[0]
+    cut = ranks.quantiles(predict(d), {"pred": "pred"}, [0.5]).first()["value"]
     r = X.local_rule(spark, lambda df: predict(df).withColumn("pred", (F.col("pred") > cut).cast("int")), x, [0.5] * 5, COLUMNS, 400)
     return spark.createDataFrame([(r["rule"], r["counterfactual"], float(r["fidelity"]))], "rule string, counterfactual string, fidelity double")
 
