@@ -11,13 +11,13 @@ from .common import cut, release
 def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     return both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them. Rows are (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "least")
     moved = edges.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -26,8 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b long): root is the smallest node reachable.
 
     Loops and repeated edges do no harm; no edges give an empty table. Every round is a written table, and
-    ends when a round changes nothing. Minima are pre-aggregated and joined back, so a node with very many
-    neighbours is never one task's group.
+    ends when a round changes nothing. Minima are pre-aggregated, written, and joined back in a stage of its own,
+    in which adaptive execution can split the edges of a node with very many neighbours.
     """
     now = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"

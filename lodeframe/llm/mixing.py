@@ -13,9 +13,10 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, parts
@@ -83,11 +84,11 @@ def pivot(probs: list[float], rng: random.Random, last: bool) -> list[float]:
 def _level(seed: int, level: int, final: set):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         source, chunk = key
-        rows = rows.sort_values(["size", "doc_id"], kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "h"], kind="stable")
         source = None if source is None or source != source else source
         rng = random.Random(zlib.crc32(f"{seed}:{level}:{source!r}:{chunk}".encode()))
         p = pivot(rows["p"].tolist(), rng, source in final)
-        return rows.assign(p=p)[["doc_id", "source", "size", "p"]]
+        return rows.assign(p=p)[["doc_id", "source", "size", "h", "p"]]
 
     return run
 
@@ -95,11 +96,11 @@ def _level(seed: int, level: int, final: set):
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 42, chunk: int = CHUNK
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(doc_id, source, size, h, source_size, target, copies, taken) for every row of ``docs``.
 
-    size: words of the text, 0 for null. copies: whole copies the mix takes, taken = copies * size. Reruns agree:
-    draws depend on the seed, the source and the chunk alone, and rows that agree in all three columns are
-    interchangeable. An empty table gives an empty result. A null source is a source of its own, a null or repeated
+    size: words of the text, 0 for null. h: a hash of the text, so that rows that share an id are dealt apart unless they
+    are copies. copies: whole copies the mix takes, taken = copies * size. Reruns agree: draws depend on the
+    seed, the source and the chunk alone, and rows that agree in id, source, size and text are interchangeable. An empty table gives an empty result. A null source is a source of its own, a null or repeated
     doc_id is an ordinary row. Only one row per source reaches the driver; sources must be few enough for that.
     """
     spark = docs.sparkSession
@@ -108,6 +109,7 @@ def mix(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64("text").alias("h"),
         ),
         "mix-sizes",
     )
@@ -123,9 +125,9 @@ def mix(
         )
     )
     start = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "p", F.pmod(F.xxhash64("doc_id", "size"), F.col("n")).cast("int").alias("chunk")
+        "doc_id", "source", "size", "h", "p", F.pmod(F.xxhash64("doc_id", "size", "h"), F.col("n")).cast("int").alias("chunk")
     )
-    schema = "doc_id long, source string, size long, p double"
+    schema = "doc_id long, source string, size long, h long, p double"
     level, done = 0, []
     while True:
         final = {s for s, n in chunks.items() if n == 1}
@@ -138,7 +140,7 @@ def mix(
         chunks = {s: parts(n, chunk) for s, n in chunks.items()}
         n = F.broadcast(spark.createDataFrame(list(chunks.items()), "_s string, n int"))
         start = out.where(undecided).join(n, F.col("source").eqNullSafe(F.col("_s"))).select(
-            "doc_id", "source", "size", "p", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("n")).cast("int").alias("chunk")
+            "doc_id", "source", "size", "h", "p", F.pmod(F.xxhash64("doc_id", "size", "h", F.lit(level)), F.col("n")).cast("int").alias("chunk")
         )
     rounded = done[0]
     for x in done[1:]:
@@ -147,33 +149,37 @@ def mix(
     return (
         rounded.withColumnRenamed("p", "p0")
         .join(plan, F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "h", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns as before.
 
-    Rows are matched by doc_id, source and size; of rows that agree in these, each takes the mean of their copies,
-    the remainder going to the first in order of text.
+    Rows are matched by doc_id, source, size and a hash of the text. Rows that agree in these are copies: each takes the mean of
+    their copies, and as many rows as remain, in hashed order, one more. A row's copies follow from its group's totals
+    alone, but for that remainder, which is dealt in up to 4,096 parts.
     """
-    from pyspark.sql import Window
-
-    mixed = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n"))
+    mixed = mix(docs, **how).groupBy("doc_id", "source", "size", "h").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n"))
     kept = docs.columns
     own = docs.select(
         F.struct(*[docs[c] for c in kept]).alias("_d"),
         F.col("doc_id").cast("long").alias("_i"),
         F.col("source").cast("string").alias("_s"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_w"),
+        F.xxhash64("text").alias("_t"),
     )
-    on = own["_i"].eqNullSafe(mixed["doc_id"]) & own["_s"].eqNullSafe(mixed["source"]) & (own["_w"] == mixed["size"])
-    both = own.join(mixed.withColumnsRenamed({}), on).select("_d", "_i", "_s", "_w", "_c", "_n")
+    key = ["_i", "_s", "_w", "_t"]
+    on = own["_i"].eqNullSafe(mixed["doc_id"]) & own["_s"].eqNullSafe(mixed["source"]) & (own["_w"] == mixed["size"]) & (own["_t"] == mixed["h"])
+    both = own.join(mixed, on).select("_d", *key, "_c", "_n")
     once = both.where("_n = 1").select("_d", F.col("_c").alias("_k"))
-    rank = Window.partitionBy("_i", "_s", "_w").orderBy(F.col("_d.text"))
-    many = both.where("_n > 1").select("_d", "_c", "_n", F.row_number().over(rank).alias("_r")).select(
-        "_d", F.expr("_c div _n + if(_r <= _c % _n, 1, 0)").alias("_k")
-    )
-    return once.unionByName(many).where("_k > 0").select(F.explode(F.expr("array_repeat(_d, cast(_k as int))")).alias("_d")).select(
+    # Copies of one document: numbered within parts of their group, a part's first number from the sizes of the parts.
+    many = both.where("_n > 1").withColumn("_p", F.pmod(F.xxhash64("_d"), F.lit(4096)))
+    sizes = many.groupBy(*key, "_p").agg(F.count("*").alias("_m"))
+    starts = sizes.select(*[F.col(c).alias(f"{c}2") for c in [*key, "_p"]], (F.sum("_m").over(Window.partitionBy(*key).orderBy("_p")) - F.col("_m")).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*key, "_p").orderBy(F.xxhash64("_d")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*key, "_p"]])
+    dealt = many.withColumn("_r", place).join(starts, same).select("_d", F.expr("_c div _n + if(_o + _r <= _c % _n, 1, 0)").alias("_k"))
+    return once.unionByName(dealt).where("_k > 0").select(F.explode(F.expr("array_repeat(_d, cast(_k as int))")).alias("_d")).select(
         *[F.col("_d").getField(c).alias(c) for c in kept]
     )

@@ -25,23 +25,24 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The pieces of every row of ``docs``: full windows from the start and a rest, with a crc32 of their ids."""
+    """The pieces of every row of ``docs``: full windows from the start and a rest, with a crc32 of their ids; ids is that of the document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
                 texts = [t or "" for t in b.column(1)[at : at + 256].to_pylist()]
                 for doc, ids in zip(b.column(0)[at : at + 256].to_pylist(), enc.encode(texts), strict=True):
                     raw, n = np.append(ids, np.uint32(end)).astype("<u4").tobytes(), len(ids) + 1
+                    whole = zlib.crc32(raw)
                     for s in range(0, n, window):
                         e = min(n, s + window)
-                        for c, v in zip(out, (doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n), strict=True):
+                        for c, v in zip(out, (doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n, whole), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids long")
 
 
 class Capacities:
@@ -106,5 +107,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         which, offset = best_fit(rows["length"].tolist(), window)
         return rows.assign(sequence_id=rows["_g"] * 2**32 + np.array(which, dtype=np.int64), offset=np.array(offset, dtype=np.int64)).drop(columns="_g")
 
-    dealt = pieces(docs, tokenizer, window, end).withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(n)).cast("long"))
+    dealt = pieces(docs, tokenizer, window, end).withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids", "start"), F.lit(n)).cast("long")).drop("ids")
     return dealt.groupBy("_g").applyInPandas(run, PIECE + ", sequence_id long, offset long")

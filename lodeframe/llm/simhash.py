@@ -155,7 +155,8 @@ def _rooted(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     own = cut(fingerprints(docs), "fingerprints")
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     roots = components(link_edges(distinct.select("fp"), bits))
-    return own, distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return own, cut(rooted, "rooted")  # read twice; joins on a root then are stages of their own, which can be split
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -167,7 +168,7 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     Columns besides doc_id and text aren't read.
     """
     own, rooted = _rooted(docs, bits)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     by_fp = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     return own.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
@@ -179,7 +180,7 @@ def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     a class without ids keeps a row of its own, and texts of different classes that share an id both stay.
     """
     own, rooted = _rooted(docs, bits)
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("least")), "names")
     named = rooted.select(F.col("fp").alias("_fp"), F.col("root")).join(least, "root")
     of = own.join(named, F.col("fp") == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("least")))
     of = of.select("root", F.col("doc_id").alias("_keep"), F.col("h").alias("_h")).distinct()  # an id and a text have one class
