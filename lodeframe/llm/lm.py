@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .common import cut, fold, parts
 
 MOD, HELD = 7, 2
 MASS, SEED = 100.0, 42  # M, the words that a context's prior weighs
-GROUP_CHARS, BUCKET_CHARS, FLUSH_CHARS = 5_000_000, 8_000_000, 10_000_000
+GROUP_CHARS, BUCKET_CHARS, FLUSH_CHARS = 3_500_000, 6_000_000, 8_000_000
 START = 0  # number of the begin-of-text context; 1 is the end token, words follow
 STOP = 1
 
@@ -134,12 +135,14 @@ def build(counts: dict[tuple[int, ...], int], docs: int, mass: float = MASS) ->
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """8-byte numbers as byte planes: the high bytes of sorted keys and of small counts are runs, which compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """8-byte numbers as compressed byte planes: the high bytes of sorted keys and of small counts are runs."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8")
 
 
 class Group:
@@ -202,6 +205,8 @@ class Group:
         new = self.level()
         if answers:
             new["total"][:, new["ask"]] += np.concatenate([_unpack(x).reshape(2, -1) for _, x in sorted(answers)], axis=1).astype(np.int64)
+        for done in ("keys", "own", "ask"):
+            del new[done]
 
     def scores(self, total: int, mass: float) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and the traversal's score of each text."""
