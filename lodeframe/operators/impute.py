@@ -137,6 +137,7 @@ def chained_linear(df: DataFrame, columns: list[str], kind: str = "lasso", alpha
     now = fill(df.select("*", *[F.col(c).isNull().alias(m) for c, m in marks.items()]), columns, initial)
     gaps = now.agg(*[F.max(F.col(m).cast("int")) for m in marks.values()]).first()
     todo = [c for c, g in zip(columns, gaps, strict=True) if g]
+    now = now.persist()  # read once for each column and round; each step reads the one before, not the whole lineage
     for _ in range(rounds):
         for c in todo:
             others = [x for x in columns if x != c]
@@ -148,7 +149,9 @@ def chained_linear(df: DataFrame, columns: list[str], kind: str = "lasso", alpha
             sd = np.sqrt(np.maximum(np.diag(centred)[:-1] / n, 1e-12))
             w = solve(centred[:-1, :-1] / np.outer(sd, sd), centred[:-1, -1] / sd, n, kind, alpha, centred[-1, -1]) / sd
             guess = sum((F.lit(float(a)) * (F.col(x) - float(b)) for a, x, b in zip(w, others, m[:-1], strict=True)), F.lit(float(m[-1])))
-            now = now.withColumn(c, F.when(F.col(marks[c]), guess).otherwise(F.col(c)))
+            last, now = now, now.withColumn(c, F.when(F.col(marks[c]), guess).otherwise(F.col(c))).persist()
+            now.count()
+            last.unpersist()
     return now.select(*df.columns)
 
 
@@ -160,12 +163,15 @@ def chained_trees(df: DataFrame, columns: list[str], rounds: int = 1, trees: int
     marks = {c: f"_miss_{i}" for i, c in enumerate(columns)}
     now = fill(df.select("*", *[F.col(c).isNull().alias(m) for c, m in marks.items()]), columns, initial)
     gaps = now.agg(*[F.max(F.col(m).cast("int")) for m in marks.values()]).first()
+    now = now.persist()
     for _ in range(rounds):
         for c in [c for c, g in zip(columns, gaps, strict=True) if g]:
             vec = VectorAssembler(inputCols=[x for x in columns if x != c], outputCol="_f")
             both = vec.transform(now)
             model = RandomForestRegressor(featuresCol="_f", labelCol=c, predictionCol="_p", numTrees=trees, maxDepth=5, seed=seed).fit(both.where(~F.col(marks[c])))
-            now = model.transform(both).withColumn(c, F.when(F.col(marks[c]), F.col("_p")).otherwise(F.col(c))).drop("_f", "_p")
+            last, now = now, model.transform(both).withColumn(c, F.when(F.col(marks[c]), F.col("_p")).otherwise(F.col(c))).drop("_f", "_p").persist()
+            now.count()
+            last.unpersist()
     return now.select(*df.columns)
 
 

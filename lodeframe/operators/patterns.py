@@ -66,6 +66,7 @@ def frequent_gapped(seqs: DataFrame, share: float, gap: int, longest: int | None
 
     A level's candidates are at most its frequent patterns times the alphabet. They are few, and broadcast.
     """
+    seqs = seqs.select("seq").persist()  # read once for each level
     n = seqs.count()
     least = max(1, math.floor(n * share))
     spark = seqs.sparkSession
@@ -77,9 +78,27 @@ def frequent_gapped(seqs: DataFrame, share: float, gap: int, longest: int | None
         kept = {r["pattern"]: r["n"] for r in hits.collect()}
         out += sorted(kept.items())
         candidates = sorted(a + b[-1] for a in kept for b in kept if a[1:] == b[:-1])
+    seqs.unpersist()
     return spark.createDataFrame([(p, len(p), c, c / n) for p, c in out], "pattern string, length int, n long, support double")
 
 
+def maximal_gapped(found: DataFrame, gap: int) -> DataFrame:
+    """Longest first, patterns contained with ``gap`` in no pattern kept before them.
+
+    With gaps containment isn't transitive, so what is kept depends on the order. Frequent patterns are few (see
+    ``frequent_gapped``) and go through the driver.
+    """
+    import re
+
+    rows = sorted(found.select("pattern").collect(), key=lambda r: (-len(r[0]), r[0]))
+    kept: list[str] = []
+    for (p,) in rows:
+        if not any(len(q) > len(p) and re.search(gap_pattern(p, gap), q) for q in kept):
+            kept.append(p)
+    some = found.sparkSession.createDataFrame([(p,) for p in kept], "pattern string")
+    return found.join(F.broadcast(some), "pattern", "left_semi")
+
+
 def contrast(maximal_by: DataFrame, frequent_by: DataFrame, label: str) -> DataFrame:
     """Maximal patterns of each class, with whether another class has them maximal, or frequent at all."""
     other = lambda df, name: df.select(F.col("pattern").alias("_p"), F.col(label).alias("_l")).groupBy("_p").agg(F.count("*").alias(name))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import draw
+from ..functions.hashing import draw, uniform
 from .ranks import hashed, running
 from .stats import missing_fraction, spearman
 
@@ -117,3 +118,24 @@ def validate_split(df: DataFrame, label: str, low: int = 0, high: int = 3) -> Da
         F.count_if(F.col("Split") == "Train").alias("n_train"),
         F.count_if(F.col("Split") == "Test").alias("n_test"),
     )
+
+
+def jitter(df: DataFrame, key: str, values: str, sigma: float = 1e-6, seed: int = 42) -> DataFrame:
+    """``values`` with normal noise of deviation ``sigma``, by Box and Muller's transform of two hashed draws for each value."""
+    u = lambda what, i: uniform(f"{seed}:{what}", key, i)
+    noise = lambda i: F.sqrt(-2 * F.log(1 - u("r", i))) * F.cos(2 * math.pi * u("a", i))
+    return df.withColumn(values, F.transform(values, lambda x, i: x + sigma * noise(i)))
+
+
+def stack_columns(blocks: list[DataFrame], key: str, values: str) -> DataFrame:
+    """(key, values): blocks of columns side by side, in the order given, for keys that are in every block."""
+    out = blocks[0].select(key, F.col(values).alias("_0"))
+    for i, b in enumerate(blocks[1:], 1):
+        out = out.join(b.select(key, F.col(values).alias(f"_{i}")), key)
+    return out.select(key, F.concat(*[f"_{i}" for i in range(len(blocks))]).alias(values))
+
+
+def resample_indices(df: DataFrame, key: str, rounds: int, seed: int = 42) -> DataFrame:
+    """(round, key, place): for each round all keys in hashed order; the first of them train, the rest test, as the caller cuts."""
+    each = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    return hashed(each, draw(seed, "round", key), key, "round").select("round", key, F.col("_r").alias("place"))

@@ -6,7 +6,7 @@ from .registry import QUERIES, SQL
 
 
 def _load() -> None:
-    from . import kernels, metrics, models, outliers, patterns, series, tables  # noqa: F401  they register themselves
+    from . import features, kernels, metrics, models, outliers, patterns, series, tables  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -89,12 +89,23 @@ def entropy_bound(spark, sf):
     return K.entropy_bound(d, "shapelet", 200, 100).withColumn("bound", F.round("bound", 6))
 
 
-@query()
+RANDOM = f"""{SERIES}, k8 AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id::varchar), id) - 1 AS r FROM series QUALIFY r < 8),
+i8 AS (SELECT unnest(range(8))::int AS i), cut8 AS (SELECT i, ('0x' || substr(md5('42:key:' || i::varchar), 1, 8))::bigint % 8 AS r, (('0x' || substr(md5('42:start:' || i::varchar), 1, 8))::bigint % 55)::int AS st FROM i8),
+shapes AS (SELECT i AS shapelet, v[st + 1 : st + 10] AS s FROM cut8 JOIN k8 USING (r) JOIN series USING (id)),
+win AS (SELECT id, label, i, v[i + 1 : i + 10] AS w FROM series CROSS JOIN (SELECT unnest(range(55))::int AS i)), zw AS (SELECT id, label, i, {_z("w")} AS w FROM win), zs AS (SELECT shapelet, {_z("s")} AS s FROM shapes),
+best AS (SELECT shapelet, id, label, round(round(min(sqrt(list_sum(list_transform(range(10), lambda k: (w[k + 1] - s[k + 1]) ^ 2)))), 9), 6) AS d FROM zw, zs GROUP BY 1, 2, 3),
+g AS (SELECT shapelet, d, count(*) AS n, sum(label) AS k FROM best GROUP BY 1, 2),
+run AS (SELECT shapelet, d, sum(n) OVER o AS nl, sum(k) OVER o AS kl, sum(n) OVER w AS na, sum(k) OVER w AS ka, lead(d) OVER (PARTITION BY shapelet ORDER BY d) AS nx FROM g
+  WINDOW o AS (PARTITION BY shapelet ORDER BY d ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY shapelet)),
+sp AS (SELECT shapelet, max(round({_h("ka", "na")} - nl / na * {_h("kl", "nl")} - (na - nl) / na * {_h("(ka - kl)", "(na - nl)")}, 12)) AS gain FROM run WHERE nx IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {RANDOM} SELECT count(*) AS n, round(max(gain), 5) AS best, round(avg(gain), 5) AS mean FROM sp")
 def random_control(spark, sf):
     keys = [r[0] for r in series(spark, sf).orderBy(draw(42, "id"), "id").limit(8).select("id").collect()]
     shapes = K.cut_shapelets(series(spark, sf), "id", "values", K.random_cuts(keys, 8, [10], 64), "label")
-    s = K.best_split(K.shapelet_distances(series(spark, sf), shapes, "id", "values", "label", 10), "shapelet")
-    return s.agg(F.count("*").alias("n"), F.max("gain").alias("best"), F.avg("gain").alias("mean"))
+    d = K.shapelet_distances(series(spark, sf), shapes, "id", "values", "label", 10).withColumn("d", F.round(F.round("d", 9), 6))
+    return K.best_split(d, "shapelet").agg(F.count("*").alias("n"), F.round(F.max("gain"), 5).alias("best"), F.round(F.avg("gain"), 5).alias("mean"))
 
 
 @query()
@@ -112,9 +123,27 @@ def _near(spark, sf):
     return K.nearest(s, s, "id", "values", 5).withColumn("d", F.round("d", 9))
 
 
-@query(f"WITH {NEAR} SELECT id, rank::int AS rank, round(d, 6) AS d FROM near")
+@query(f"WITH {NEAR} SELECT id, neighbour, rank::int AS rank, round(d, 6) AS d FROM near")
 def knn_euclid(spark, sf):
-    return _near(spark, sf).select("id", "rank", F.round("d", 6).alias("d"))
+    return _near(spark, sf).select("id", "neighbour", "rank", F.round("d", 6).alias("d"))
+
+
+@query()
+def knn_dtw(spark, sf):
+    """A vote of the five nearest by warping (a window of a tenth), fitted on the training half, for the rest."""
+    from ..operators import prep
+
+    s = prep.stratified_split(series(spark, sf), "id", "label")
+    train, test = (s.where(F.col("Split") == x) for x in ("Train", "Test"))
+    near = K.nearest(test, train, "id", "values", 5, measure=lambda x, y: K.warp(x, y, 6))
+    return K.knn_vote(near, train, "id", "label").withColumn("p1", F.round("p1", 6))
+
+
+@query(f"WITH {GAIN}, top AS (SELECT shapelet, threshold FROM split ORDER BY round(gain, 9) DESC, shapelet LIMIT 1) SELECT shapelet, round(threshold, 5) AS threshold, shape_label::varchar AS near, (1 - shape_label)::varchar AS far FROM top JOIN shapes USING (shapelet)")
+def shapelet_rule(spark, sf):
+    splits = _splits(spark, sf).withColumn("gain", F.round("gain", 9))
+    rule = K.shapelet_rule(K.rank_shapelets(splits), splits.select("shapelet", "threshold"), _shapes(spark, sf))
+    return rule.withColumn("threshold", F.round("threshold", 5))
 
 
 @query(f"WITH {NEAR} SELECT id, round(CASE WHEN min(d) = 0 THEN avg(nl) FILTER (d = 0) ELSE sum(nl / nullif(d, 0)) / sum(1 / nullif(d, 0)) END, 5) AS p1 FROM near GROUP BY 1")
@@ -136,37 +165,83 @@ def enn_keep(spark, sf):
     return edited_neighbours(_near(spark, sf), series(spark, sf), "id", "label", 3)
 
 
-@query()
+U = lambda what: f"(('0x' || substr(md5('42:{what}:' || n.id::varchar || ':1'), 1, 8))::bigint / 4294967296.0)"
+SMOTE = f"""{SERIES}, few AS (SELECT * FROM series WHERE label = 1), fp AS (SELECT a.id AS id, b.id AS neighbour, round(sqrt(list_sum(list_transform(range(64), lambda k: (a.v[k + 1] - b.v[k + 1]) ^ 2))), 9) AS d FROM few a JOIN few b ON a.id <> b.id),
+fn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM fp QUALIFY rank <= 5),
+made AS (SELECT n.id AS source, n.neighbour, list_transform(range(64), lambda k: a.v[k + 1] + (b.v[k + 1] - a.v[k + 1]) * {U("gap")}) AS x FROM fn n JOIN few a ON a.id = n.id JOIN few b ON b.id = n.neighbour WHERE n.rank = floor({U("pick")} * 5)::int + 1)"""
+
+
+@query(f"WITH {SMOTE} SELECT source, neighbour, 1 AS copy, round(list_sum(x), 5) AS total, round(x[1], 5) AS first FROM made")
 def synthetic_minority(spark, sf):
+    from ..functions.arrays import total
     from ..operators.models import synthetic_minority as smote
 
     few = series(spark, sf).where("label = 1").select("id", F.col("values").alias("x"))
-    return smote(few, K.nearest(few, few, "id", "x", 5), "id", 1)
+    made = smote(few, K.nearest(few, few, "id", "x", 5), "id", 1)
+    return made.select("source", "neighbour", "copy", F.round(total(F.col("x")), 5).alias("total"), F.round(F.col("x")[0], 5).alias("first"))
+
+
+@query()
+def resampling_benchmark(spark, sf):
+    """Rows of each class that each way of resampling leaves in the training folds, and the macro F1 of a forest on the rest."""
+    from ..operators import metrics, prep
+    from ..operators import models as M
+
+    s = prep.stratified_split(series(spark, sf).select("id", F.col("values").alias("x"), F.col("label").cast("int").alias("label")), "id", "label")
+    s = s.where((F.col("label") == 0) | (F.col("id") % 3 == 0))  # an uneven table
+    train, test = (s.where(F.col("Split") == x) for x in ("Train", "Test"))
+    out = None
+    for how in ("none", "smote", "adasyn", "enn", "tomek", "smote_enn", "smote_tomek"):
+        made = M.resampled(train, "id", "label", how)
+        p = M.classifier("rf_clf", "label", "id", numTrees="5")(made)(test).withColumn("guess", (F.col("pred") >= 0.5).cast("int"))
+        f1 = metrics.summary(p.join(test.select("id", "label"), "id"), "label", "guess").select("macro_f1")
+        n = made.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+        row = n.crossJoin(f1).select(F.lit(how).alias("how"), "n0", "n1", "macro_f1")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 M = 12
 PROFILE = f"""{SERIES}, w AS (SELECT id, i, v[i + 1 : i + {M}] AS w FROM series CROSS JOIN (SELECT unnest(range({64 - M + 1}))::int AS i)), s AS (SELECT id, i, w, list_aggregate(w, 'avg') AS mu, list_aggregate(w, 'stddev_pop') AS sd FROM w),
 p AS (SELECT a.id, a.i, b.i AS j, round(sqrt(greatest(0, 2 * {M} * (1 - (list_sum(list_transform(range({M}), lambda k: a.w[k + 1] * b.w[k + 1])) - {M} * a.mu * b.mu) / ({M} * a.sd * b.sd)))), 6) AS d
-  FROM s a JOIN s b ON a.id = b.id AND abs(a.i - b.i) > {M // 2}), prof AS (SELECT id, i AS pos, min(d) AS dist FROM p GROUP BY 1, 2)"""
+  FROM s a JOIN s b ON a.id = b.id AND abs(a.i - b.i) > {M // 2}), prof AS (SELECT id, i AS pos, min(d) AS dist, min(struct_pack(d := d, j := j)).j AS nn FROM p GROUP BY 1, 2)"""
 
 
 def _profile(spark, sf):
     return K.matrix_profile(series(spark, sf), "id", "values", M, M // 2)
 
 
-@query(f"WITH {PROFILE} SELECT id, pos, {R("dist", 3)} AS dist FROM prof")
+@query(f"WITH {PROFILE} SELECT id, pos, {R("dist", 3)} AS dist, nn FROM prof")
 def matrix_profile(spark, sf):
-    return _profile(spark, sf).select("id", "pos", near(F.round("dist", 6), 3).alias("dist"))
+    return _profile(spark, sf).select("id", "pos", near(F.round("dist", 6), 3).alias("dist"), "nn")
 
 
-@query()
+DISCORD = f"""d1 AS (SELECT id, 1 AS rank, arg_max(pos, struct_pack(d := dist, p := -pos)) AS pos, max(dist) AS dist FROM prof GROUP BY 1),
+l2 AS (SELECT p.* FROM prof p JOIN d1 a USING (id) WHERE NOT (p.pos >= a.pos - {M // 2} AND p.pos < a.pos + {M // 2})),
+d2 AS (SELECT id, 2 AS rank, arg_max(pos, struct_pack(d := dist, p := -pos)) AS pos, max(dist) AS dist FROM l2 GROUP BY 1),
+l3 AS (SELECT p.* FROM l2 p JOIN d2 a USING (id) WHERE NOT (p.pos >= a.pos - {M // 2} AND p.pos < a.pos + {M // 2})),
+d3 AS (SELECT id, 3 AS rank, arg_max(pos, struct_pack(d := dist, p := -pos)) AS pos, max(dist) AS dist FROM l3 GROUP BY 1),
+every AS (FROM d1 UNION ALL FROM d2 UNION ALL FROM d3)"""
+
+
+@query(f"WITH {PROFILE}, {DISCORD} SELECT id, rank, pos, {R("dist", 3)} AS dist FROM every WHERE dist > 0")
 def discords(spark, sf):
-    return K.discords(_profile(spark, sf), "id", M, 3)
+    p = _profile(spark, sf).withColumn("dist", F.round("dist", 6))
+    return K.discords(p, "id", M, 3).withColumn("dist", near("dist", 3))
 
 
-@query()
+def _motif(n: int, of: str) -> str:
+    return f"m{n} AS (SELECT id, {n} AS rank, min(struct_pack(d := dist, p := pos, q := nn)) AS b FROM {of} GROUP BY 1)"
+
+
+def _left(n: int, of: str) -> str:
+    return f"k{n} AS (SELECT p.* FROM {of} p JOIN m{n - 1} a USING (id) WHERE abs(p.pos - a.b.p) > {M // 2} AND abs(p.pos - a.b.q) > {M // 2})"
+
+
+@query(f"WITH {PROFILE}, {_motif(1, 'prof')}, {_left(2, 'prof')}, {_motif(2, 'k2')}, {_left(3, 'k2')}, {_motif(3, 'k3')}, every AS (FROM m1 UNION ALL FROM m2 UNION ALL FROM m3) SELECT id, rank, b.p AS pos, b.q AS nn, {R("b.d", 3)} AS dist FROM every")
 def motifs(spark, sf):
-    return K.motifs(_profile(spark, sf), "id", M, 3)
+    p = _profile(spark, sf).withColumn("dist", F.round("dist", 6))
+    return K.motifs(p, "id", M, 3).withColumn("dist", near("dist", 3))
 
 
 def _short(spark, sf):

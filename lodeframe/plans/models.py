@@ -12,15 +12,15 @@ from .registry import query
 
 
 def _data(spark, sf, folds: int = 3):
-    """(id, x, target, fold): standardised orders with folds."""
+    """(id, x, target, fold): standardised orders with folds; kept, as training reads it many times."""
     t = orders_table(spark, sf)
     v = outliers.standardise(t, "id", COLUMNS).join(t.select("id", "target"), "id")
-    return prep.stratified_folds(v, "id", "target", folds)
+    return prep.stratified_folds(v, "id", "target", folds).persist()
 
 
 def _binary(spark, sf, folds: int = 3):
     w = series(spark, sf).select("id", F.col("values").alias("x"), F.col("label").cast("int").alias("label"))
-    return prep.stratified_folds(w, "id", "label", folds)
+    return prep.stratified_folds(w, "id", "label", folds).persist()
 
 
 def _regression(name: str, **params):

@@ -76,8 +76,13 @@ def contrast_shared(spark, sf):
     return s.withColumns({c: F.round(c, 6) for c in ("support_a", "support_b")})
 
 
-@query(f"""WITH RECURSIVE {SEQ}, abc AS (SELECT unnest(['L', 'M', 'H']) AS s), cand AS (SELECT s AS p, s AS re FROM abc UNION ALL SELECT p || s, re || '.{{0,1}}' || s FROM cand, abc WHERE length(p) < 3),
+@query(f"""WITH RECURSIVE {SEQ}, abc AS (SELECT unnest(['L', 'M', 'H']) AS s), cand AS (SELECT s AS p, s AS re FROM abc UNION ALL SELECT p || s, re || '.{{0,1}}' || s FROM cand, abc WHERE length(p) < 8),
   hits AS (SELECT p AS pattern, count(*) AS n FROM cand JOIN seqs ON regexp_matches(seq, re) GROUP BY 1) SELECT pattern, length(pattern)::int AS length, n, round(n / (SELECT count(*) FROM seqs), 6) AS support FROM hits
   WHERE n >= greatest(1, floor((SELECT count(*) FROM seqs) * {SHARE}))""")
 def gap2_patterns(spark, sf):
-    return P.frequent_gapped(_seqs(spark, sf), SHARE, 2, 3).withColumn("support", F.round("support", 6))
+    return P.frequent_gapped(_seqs(spark, sf), SHARE, 2).withColumn("support", F.round("support", 6))
+
+
+@query()
+def gap2_maximal(spark, sf):
+    return P.maximal_gapped(P.frequent_gapped(_seqs(spark, sf), SHARE, 2), 2).withColumn("support", F.round("support", 6))

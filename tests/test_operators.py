@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import arrays as A
-from lodeframe.operators import explain, impute, intervals, kernels, metrics, models, outliers, patterns, prep, series, stats
+from lodeframe.operators import chain, explain, extract, impute, intervals, kernels, metrics, models, outliers, patterns, prep, ranks, series, stats
 from lodeframe.sources import tables
 
 
@@ -241,3 +241,199 @@ def test_knn_fill_searches_all_rows(spark):
                 near = [r for r in np.lexsort((np.arange(2600), d)) if not gaps[r, j] and np.isfinite(d[r])][:3]
                 want = x[near, j].mean() if near else x[~gaps[:, j], j].mean()
             assert abs(got[i][c] - want) < 1e-9
+
+
+def test_hashed_ranks_and_running_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, "a", "b"][i % 3], float(rng.integers(0, 40)) if i % 7 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    from lodeframe.functions.hashing import draw
+
+    got = {r["id"]: (r["_r"], r["_n"]) for r in ranks.hashed(df, draw(1, "id"), "id", "g").collect()}
+    import hashlib
+
+    for g in (None, "a", "b"):
+        own = sorted((hashlib.md5(f"1:{i}".encode()).hexdigest(), i) for i, h, _ in rows if h == g)
+        assert all(got[i] == (k + 1, len(own)) for k, (_, i) in enumerate(own))
+    counts = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
+    for r in ranks.running(counts, "v", ["c"], "g").collect():
+        own = [v for _, g, v in rows if g == r["g"] and v is not None]
+        above = [v for v in own if v > r["v"]]
+        assert r["before_c"] == sum(v < r["v"] for v in own) and r["all_c"] == len(own) and r["next"] == (min(above) if above else None)
+    assert ranks.running(counts.limit(0), "v", ["c"], "g").count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 50])
+def test_quantiles_are_exact(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)  # groups of that many rows go by brackets
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=1501), "b": rng.integers(0, 5, 977).astype(float), "c": np.array([3.5])}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1.0]
+    got = {r["g"]: r["q"] for r in ranks.quantile_row(df, {"q": "v"}, shares, "g").collect()}
+    assert set(got) == set(data)
+    for g, vs in data.items():
+        assert got[g] == pytest.approx([float(np.quantile(vs, s)) for s in shares], abs=1e-12)
+    assert ranks.quantile_row(df.limit(0), {"q": "v"}, [0.5]).first()["q"] == [None]
+
+
+def test_wasserstein_is_the_mean_gap_of_sorted_values(spark):
+    rng = np.random.default_rng(5)
+    a, p = rng.integers(0, 9, 60).astype(float), rng.normal(4, 3, 60)
+    df = spark.createDataFrame([("x", float(i), float(j)) for i, j in zip(a, p, strict=True)], "column string, actual double, pred double")
+    assert impute.reconstruction(df).first()["wasserstein"] == pytest.approx(np.abs(np.sort(a) - np.sort(p)).mean())
+
+
+def test_searched_cuts_travel(spark):
+    rng = np.random.default_rng(6)
+    truth = rng.integers(0, 4, 400)
+    df = spark.createDataFrame([(int(t), float(2.4 + 0.5 * t + rng.normal(0, 0.05))) for t in truth], "t int, s double")
+    cuts, best = metrics.search_cuts(df, "t", "s")
+    assert cuts == sorted(cuts) and cuts[2] > 3.05 and best > metrics.search_cuts(df, "t", "s", passes=1)[1]
+
+
+def test_warping_of_many_pairs(spark):
+    rng = np.random.default_rng(7)
+
+    def plain(a, b, r):
+        n, m = len(a), len(b)
+        r = max(r, abs(n - m))
+        c = np.full((n + 1, m + 1), np.inf)
+        c[0, 0] = 0
+        for i in range(n):
+            for j in range(max(0, i - r), min(m, i + r + 1)):
+                c[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(c[i, j], c[i, j + 1], c[i + 1, j])
+        return np.sqrt(c[n, m])
+
+    x, y = rng.normal(size=(6, 12)), rng.normal(size=(5, 10))
+    got = kernels.warp(x[:, None], y[None], 3)
+    assert got == pytest.approx(np.array([[plain(a, b, 3) for b in y] for a in x]))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(40, 8)))], "id long, values array<double>")
+    rows = {r["id"]: np.array(r["values"]) for r in df.collect()}
+    near = kernels.nearest(df, df, "id", "values", 3, block=8, measure=lambda a, b: kernels.warp(a, b, 2)).collect()
+    for i, v in rows.items():
+        want = sorted((round(plain(v, w, 2), 9), j) for j, w in rows.items() if j != i)[:3]
+        assert [(round(r["d"], 9), r["neighbour"]) for r in sorted((r for r in near if r["id"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_profile_blocks_agree_with_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=50), np.ones(14)])
+    df = spark.createDataFrame([(1, v.tolist()), (2, v[:10].tolist())], "id long, values array<double>")
+    m, zone = 6, 3
+    w = np.lib.stride_tricks.sliding_window_view(v, m)
+    z = lambda a: (a - a.mean()) / a.std()
+    for block in (1024, 7):
+        for r in kernels.matrix_profile(df, "id", "values", m, zone, block).collect():
+            d = {}
+            for j in range(len(w)):
+                if abs(j - r["pos"]) > zone:
+                    a, b = w[r["pos"]], w[j]
+                    flat = (a.std() < 1e-12, b.std() < 1e-12)
+                    d[j] = 0.0 if all(flat) else np.sqrt(m) if any(flat) else np.linalg.norm(z(a) - z(b))
+            assert r["id"] == 1 and r["dist"] == pytest.approx(min(d.values()), abs=1e-6) and d[r["nn"]] == pytest.approx(min(d.values()), abs=1e-6)
+
+
+def test_extracted_features_are_those_of_the_parts(spark):
+    rng = np.random.default_rng(9)
+    n = 40
+    df = spark.createDataFrame([(i, r.tolist(), int(i % 2)) for i, r in enumerate(rng.normal(size=(30, n)) + np.arange(30)[:, None] % 2)], "id long, values array<double>, label int")
+    every = extract.catalogue(n)
+    some = [f for f in every if f.representation in ("original", "derivative") and f.length == 7 and f.dilation == 2 and f.level >= 0]
+    got = {r["id"]: r["x"] for r in extract.extract(df, "id", "values", some, n).collect()}
+    for kind in ("original", "derivative"):
+        base = df if kind == "original" else df.withColumn("values", intervals.derivative(F.col("values")))
+        stats_of = intervals.window_stats(base, "id", "values", 7, 2, extract.STATS)
+        size = n - 12 if kind == "original" else n - 13
+        want = {(r["id"], r["stat"], r["pool"], r["level"], r["part"]): r["value"] for r in intervals.pooled(stats_of, "id", "s", size, 3, extract.POOLS, "stat").collect()}
+        for i, x in got.items():
+            for f, value in zip(some, x, strict=True):
+                if f.representation == kind:
+                    assert value == pytest.approx(want[i, f.statistic, f.pool, f.level, f.part], abs=1e-9), f
+    sizes = intervals.feature_count(200)
+    whole = extract.catalogue(200)
+    assert (sum(f.level == 0 for f in whole), sum(f.level > 0 for f in whole), sum(f.level < 0 for f in whole)) == (sizes["global"], sizes["local"], sizes["raw"])
+    chosen = extract.choose(df, "id", "values", "label", n)
+    assert sum(f.level != 0 for f in chosen) == int(0.4 * sum(f.level != 0 for f in every))
+    both = extract.fuse([extract.extract(df, "id", "values", some[:3], n), extract.extract(df, "id", "values", some[3:5], n)], "id")
+    assert both.first()["x"] == got[both.first()["id"]][:5]
+    assert extract.feature_names([some[:1], some[:1]]) == ["ch0_original_mean_mean", "ch1_original_mean_mean"]
+    odd = spark.createDataFrame([(1, None), (2, [1.0]), (None, [0.5] * n)], "id long, values array<double>")
+    assert {r["id"]: r["x"] is None for r in extract.extract(odd, "id", "values", some, n).collect()} == {1: True, 2: True, None: False}
+
+
+def test_chain_learns_from_the_training_table_alone(spark):
+    train = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0), (3, None, 5.0), (4, 8.0, None)], "id long, a double, b double")
+    test = spark.createDataFrame([(9, None, 7.0), (8, 4.0, None)], "id long, a double, b double")
+    c = chain.fit(train, ["a", "b"])
+    sd = float(np.std([1, 3, 8]))
+    got = {r["id"]: r["x"] for r in c.apply(test, "id").collect()}
+    assert got[9] == pytest.approx([(3 - 4) / sd, 0.0]) and got[8] == pytest.approx([0.0, 0.0])
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 0, 0.1]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    axes = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :2]
+    got = np.array([r["x"] for r in chain.fit(df, ["a", "b", "c"], "mean", 2).apply(df, "id").orderBy("id").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(z @ axes), abs=1e-6)
+
+
+def test_gapped_maximal_patterns(spark):
+    seqs = spark.createDataFrame([("LMHL",), ("LHHL",), ("LMML",)], "seq string")
+    found = patterns.frequent_gapped(seqs, 0.6, 2)
+    names = {r["pattern"] for r in found.collect()}
+    import re
+
+    kept: list = []
+    for p in sorted(names, key=lambda p: (-len(p), p)):
+        if not any(len(q) > len(p) and re.search(".{0,1}".join(p), q) for q in kept):
+            kept.append(p)
+    assert {r["pattern"] for r in patterns.maximal_gapped(found, 2).collect()} == set(kept) and max(map(len, names)) >= 2
+
+
+def test_multipliers_and_multi_class(spark):
+    rng = np.random.default_rng(12)
+    y = rng.choice(3, 600, p=[0.8, 0.15, 0.05])
+    x = np.eye(3)[y] * 1.2 + rng.normal(0, 0.6, (600, 3))
+    df = spark.createDataFrame([(i, r.tolist(), int(c), i % 3) for i, (r, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int, fold int")
+    p = models.out_of_fold(df, models.probabilities("lr_clf", "y", "id", 3), "id", 3)
+    assert all(abs(sum(r["pred"]) - 1) < 1e-9 for r in p.collect())
+    both = p.join(df, "id").persist()
+    m = models.class_multipliers(both, "y", "pred", 3)
+    f1 = lambda k: metrics.summary(both.withColumn("g", models.multiplied(F.col("pred"), k)), "y", "g").first()["macro_f1"]
+    assert all(0.1 <= v <= 10 for v in m) and f1(m) >= f1([1.0] * 3) - 0.02
+    svc = models.probabilities("svc_clf", "y", "id", 3)(df)(df).first()["pred"]
+    assert len(svc) == 3 and sum(svc) == pytest.approx(1.0)
+    stacked, weights, _ = models.stack_classes(df, {"a": models.probabilities("lr_clf", "y", "id", 3), "b": models.probabilities("rf_clf", "y", "id", 3, numTrees="3", pca_n_components="2")}, "id", "y", 3, 3)
+    score = metrics.summary(stacked.join(df, "id"), "y", "guess").first()
+    assert weights.count() == 6 and score["accuracy"] > 0.8
+
+
+def test_network_learns_a_bend(spark):
+    x = np.linspace(-2, 2, 200)
+    df = spark.createDataFrame([(i, [float(v)], float(abs(v))) for i, v in enumerate(x)], "id long, x array<double>, y double")
+    p = models.perceptron_regressor(df, "y", 8, 120)(df)
+    assert p.agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0] < 0.15
+
+
+@pytest.mark.parametrize("how", ["none", "smote", "adasyn", "enn", "tomek", "smote_enn", "smote_tomek"])
+def test_resampling(spark, how):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(0, 1, 2).tolist(), 0) for i in range(60)] + [(100 + i, rng.normal(1.5, 1, 2).tolist(), 1) for i in range(15)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    n = {r["label"]: r["count"] for r in models.resampled(df, "id", "y", how).groupBy("label").count().collect()}
+    if how == "none":
+        assert n == {0: 60, 1: 15}
+    elif how == "smote":
+        assert n == {0: 60, 1: 60}
+    elif how == "adasyn":
+        assert n[0] == 60 and 50 <= n[1] <= 70
+    else:
+        assert n[0] <= 60 and n[1] <= 60 and (n[0] < 60 or n[1] not in (15, 60))
+
+
+def test_jitter_is_small_and_normal(spark):
+    df = spark.createDataFrame([(i, [0.0] * 50) for i in range(60)], "id long, values array<double>")
+    v = np.array([r["values"] for r in prep.jitter(df, "id", "values", 1e-6).collect()]).ravel() / 1e-6
+    assert abs(v.mean()) < 0.06 and abs(v.std() - 1) < 0.05 and len(set(v)) > 2900
