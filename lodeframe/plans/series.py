@@ -123,10 +123,20 @@ def dilation_grid(spark, sf):
     return spark.createDataFrame([(n, a, d) for n in (200, 100, 199, 14) for a, d in I.grid(n)], "n int, length int, dilation int")
 
 
-@query("SELECT 1974::bigint AS global, 11172::bigint AS local, 513::bigint AS raw, 4674::bigint AS selected, 6648::bigint AS total")
+@query(f"""WITH {SERIES}, n AS (SELECT max(len(v)) AS n FROM series), reps AS (SELECT unnest([n, n // 2, n - 1, (12 * (n / 100) ^ 0.25)::decimal(9, 4)::int - ((12 * (n / 100) ^ 0.25) < (12 * (n / 100) ^ 0.25)::int)::int]) AS m FROM n),
+  g AS (SELECT m, l, e, m - (l - 1) * (2 ^ e)::int AS segs FROM reps, (SELECT unnest([7, 9, 11]) AS l), (SELECT unnest(range(5)) AS e) WHERE l <= m AND e <= floor(log2((m - 1) // (l - 1)))),
+  p AS (SELECT sum(CASE WHEN segs // k > 1 THEN k WHEN segs // k = 1 THEN segs % k ELSE 0 END) AS parts FROM (SELECT segs, (2 ^ lv)::int AS k FROM g, (SELECT unnest([1, 2]) AS lv) WHERE lv <= floor(log2(segs)))),
+  c AS (SELECT (SELECT count(*) FROM g) * 42 AS global, (SELECT parts FROM p) * 42 AS local, (SELECT sum(m) FROM reps) AS raw)
+  SELECT global::bigint AS global, local::bigint AS local, raw::bigint AS raw, floor(0.4 * (local + raw))::bigint AS selected, (global + floor(0.4 * (local + raw)))::bigint AS total FROM c""")
 def feature_count(spark, sf):
-    c = I.feature_count()
-    return spark.createDataFrame([tuple(c.values())], "global long, local long, raw long, selected long, total long")
+    """The extractor's columns for the table's series: global, local, raw points, selected of these two, and used in all."""
+    from ..operators.extract import catalogue
+
+    n = series(spark, sf).agg(F.max(F.size("values"))).first()[0]
+    level = [f.level for f in catalogue(n)]
+    every, local, raw = sum(x == 0 for x in level), sum(x > 0 for x in level), sum(x < 0 for x in level)
+    kept = int(0.4 * (local + raw))
+    return spark.createDataFrame([(every, local, raw, kept, every + kept)], "global long, local long, raw long, selected long, total long")
 
 
 WINDOWS = f"""{SERIES}, win AS (SELECT id, label, i, list_transform(range(7), lambda k: v[i + k * 4 + 1]) AS w FROM series CROSS JOIN (SELECT unnest(range(40))::int AS i)),

@@ -147,15 +147,18 @@ def validate_split(spark, sf):
     return prep.validate_split(stratified_split(spark, sf), "target")
 
 
-TRIALS = [("a", 0, 0.3, "COMPLETE", {"depth": "4", "gone": None}), ("a", 1, 0.5, "COMPLETE", {"depth": "6"}), ("a", 2, 0.5, "COMPLETE", {"depth": "8"}),
-          ("a", 3, 0.9, "FAIL", {"depth": "9"}), ("b", 0, None, "COMPLETE", {"depth": "2"}), ("b", 1, -0.1, "COMPLETE", {"depth": "3"})]
+TRIAL = """SELECT o_orderpriority AS study, o_orderkey::int AS number, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS value, CASE o_orderstatus WHEN 'F' THEN 'FAIL' ELSE 'COMPLETE' END AS state, (o_custkey % 9)::varchar AS depth FROM orders"""
 
 
-@query("""WITH t(study, number, value, state, depth) AS (VALUES ('a', 0, 0.3, 'COMPLETE', '4'), ('a', 1, 0.5, 'COMPLETE', '6'), ('a', 2, 0.5, 'COMPLETE', '8'), ('a', 3, 0.9, 'FAIL', '9'),
-  ('b', 0, NULL, 'COMPLETE', '2'), ('b', 1, -0.1, 'COMPLETE', '3'))
-  SELECT study, number::int AS number, value::double AS value, depth FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY value DESC, number) AS r FROM t WHERE state = 'COMPLETE' AND value IS NOT NULL) WHERE r = 1""")
+@query(f"""WITH t AS ({TRIAL}) SELECT study, number, value::double AS value, depth FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY value DESC, number) AS r
+  FROM t WHERE state = 'COMPLETE' AND value IS NOT NULL) WHERE r = 1""")
 def best_trial(spark, sf):
-    t = spark.createDataFrame(TRIALS, io.TRIAL_SCHEMA)
+    """Orders as a log of trials: failed ones and those without a value can't win."""
+    o = read(spark, sf, "orders")
+    t = o.select(
+        F.col("o_orderpriority").alias("study"), F.col("o_orderkey").cast("int").alias("number"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice").cast("double")).alias("value"),
+        F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("COMPLETE").alias("state"), F.create_map(F.lit("depth"), (F.col("o_custkey") % 9).cast("string")).alias("params"),
+    )
     return io.best_trial(t).select("study", "number", "value", F.col("params")["depth"].alias("depth"))
 
 
