@@ -8,8 +8,8 @@ collisions than the guaranteed number can't be a link. This calibrates the count
 link is lost. Pairs that pass are verified by their cosine in double precision.
 
 Vectors of a label are dealt into tiles by cuts along the leading axes; tiles farther apart than the radius never
-meet. A tile that is too full is split by hash, so no task gets an unbounded one. Equal vectors are one point. Tasks
-return the number of links of each point and a star for each linked class, never all pairs.
+meet. A tile that is too full is split by hash, so no task gets an unbounded one. Of two tiles that meet, one is sent to
+the other. Equal vectors are one point. Tasks return the number of links of each point and a star for each linked class, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-COSINE, HALF, TILE, AXES, SAMPLE = 0.93, 0.1, 1024, 8, 20000
+COSINE, HALF, TILE, AXES, SAMPLE, VISITORS = 0.93, 0.1, 1024, 8, 20000, 16
 
 
 def _points(vectors: DataFrame) -> DataFrame:
-    """(label, embedding, point, copies): valid vectors, equal ones once, named by their smallest vec_id."""
+    """(vec_id, label, embedding) of the vectors that can link."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # -0.0 is 0.0
     return (
@@ -138,11 +138,20 @@ def classes(vectors: DataFrame, cosine: float = COSINE, half: float = HALF, tile
     vec_id links with nothing. An empty table gives an empty result. Other columns aren't read.
     """
     spark = vectors.sparkSession
-    valid = cut(_points(vectors), "vectors")
+    valid = cut(_points(vectors).withColumn("h", F.xxhash64("label", "embedding")), "vectors")
+    # Equal vectors are found among those whose hash repeats; whole vectors of the others aren't shuffled for it.
+    again = cut(valid.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h")), "repeats")
+    twice = valid.join(again, F.col("h") == F.col("_h"), "left_semi")
+    equal = cut(twice.groupBy("label", "embedding").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies")), "equal")
+    alone = valid.join(again, F.col("h") == F.col("_h"), "left_anti")
     points = cut(
-        valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
-        .withColumn("dims", F.size("embedding")), "points",
+        alone.select("label", "embedding", F.col("vec_id").alias("point"), F.lit(1).cast("long").alias("copies"))
+        .unionByName(equal.select("label", "embedding", "point", "copies")).withColumn("dims", F.size("embedding")), "points",
     )
+    same = equal.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), "point")
+    members = alone.select("vec_id", F.col("vec_id").alias("point")).unionByName(
+        twice.join(same, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "point")
+    )
     turns = {r["dims"]: basis(np.array(r["gram"]).reshape(r["dims"], -1)) for r in _sum_gram(points).collect()}  # a row for each length
     n = points.count()
     sample = points.select("label", "dims", "embedding").orderBy(F.xxhash64("point")).limit(SAMPLE).collect() if n else []
@@ -187,21 +196,30 @@ def classes(vectors: DataFrame, cosine: float = COSINE, half: float = HALF, tile
     meets = cut(a.join(b, near & (gap <= 2 - 2 * cosine + 1e-9)).select(F.col("a.tile").alias("s"), F.col("b.tile").alias("t")), "meets")
 
     def bundle(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["embedding"].to_numpy()).astype("<f8")
+        half = x.astype("<f4")  # half the bytes, where no value loses any
         return pd.DataFrame([{
             "tile": rows["tile"].iloc[0], "dims": rows["dims"].iloc[0], "ids": rows["point"].to_numpy(np.int64).tobytes(),
-            "copies": rows["copies"].to_numpy(np.int64).tobytes(), "data": np.stack(rows["embedding"].to_numpy()).astype("<f8").tobytes(),
+            "copies": rows["copies"].to_numpy(np.int64).tobytes(), "data": (half if np.array_equal(half.astype("<f8"), x) else x).tobytes(),
         }])
 
     tiles = cut(dealt.select("tile", "dims", "point", "copies", "embedding").groupBy("tile").applyInPandas(bundle, "tile long, dims int, ids binary, copies binary, data binary"), "tiles")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
+        kind = "<f4" if len(row["data"]) == 4 * len(ids) * row["dims"] else "<f8"
+        return ids, copies, np.frombuffer(row["data"], kind).astype("<f8").reshape(-1, row["dims"])
+
+    def compare(host: pa.Table, visitors: pa.Table) -> pa.Table:
+        """Links between one tile and those that meet it here: each comes once, to be compared with the host."""
         turns, _ = shared.value
-        for batch in batches:
-            for same, d, ia, ca, xa, ib, cb, xb in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                ids_a, ids_b = np.frombuffer(ia, np.int64), np.frombuffer(ib, np.int64)
-                n_a, n_b = np.frombuffer(ca, np.int64), np.frombuffer(cb, np.int64)
-                x, y = np.frombuffer(xa, "<f8").reshape(-1, d), np.frombuffer(xb, "<f8").reshape(-1, d)
-                i, j = links(x, y, turns[d], cosine, half)
+        out: list[list[np.ndarray]] = [[], [], []]
+        plain = lambda t, mark: t.rename_columns([c.removeprefix(mark) for c in t.column_names])
+        for h in plain(host, "h_").to_pylist():
+            ids_a, n_a, x = opened(h)
+            for v in (row for b in plain(visitors, "g_").to_batches(max_chunksize=1) for row in b.to_pylist()):
+                same, (ids_b, n_b, y) = v["tile"] == h["tile"], opened(v)
+                i, j = links(x, y, turns[h["dims"]], cosine, half)
                 if same:
                     i, j = i[i < j], j[i < j]
                 deg_a, deg_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
@@ -211,22 +229,25 @@ def classes(vectors: DataFrame, cosine: float = COSINE, half: float = HALF, tile
                 ids = ids_a if same else np.concatenate([ids_a, ids_b])
                 deg = deg_a + deg_b if same else np.concatenate([deg_a, deg_b])
                 hit = np.flatnonzero(deg)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(deg[hit])], ["a", "b", "n"])
-
-    u, w = tiles.alias("u"), tiles.alias("w")
-    pairs = (
-        meets.join(u, F.col("s") == F.col("u.tile")).join(w, F.col("t") == F.col("w.tile"))
-        .select((F.col("s") == F.col("t")).alias("same"), "u.dims", "u.ids", "u.copies", "u.data", F.col("w.ids").alias("ids2"), F.col("w.copies").alias("copies2"), F.col("w.data").alias("data2"))
-    )
-    met = cut(pairs.repartition(max(8, math.ceil(meets.count() / 4))).mapInArrow(compare, "a long, b long, n long"), "links")
+                for c, found in zip(out, (ids[hit], ids[root[hit]], deg[hit]), strict=True):
+                    c.append(found)
+        return pa.table([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=["a", "b", "n"])
+
+    # A tile that meets many is host to VISITORS of them at a time, so no group is unbounded.
+    often = meets.groupBy("s").count().select(F.col("s").alias("_s"), F.ceil(F.col("count") / VISITORS).cast("long").alias("_n"))
+    seats = cut(meets.join(often, F.col("s") == F.col("_s")).select("s", "t", F.pmod(F.xxhash64("t"), "_n").alias("seat")), "seats")
+    names = tiles.columns
+    hosts = seats.select("s", "seat").distinct().join(tiles, F.col("s") == F.col("tile")).select(F.col("s").alias("hs"), F.col("seat").alias("hseat"), *[F.col(c).alias(f"h_{c}") for c in names])
+    guests = seats.join(tiles, F.col("t") == F.col("tile")).select(F.col("s").alias("gs"), F.col("seat").alias("gseat"), *[F.col(c).alias(f"g_{c}") for c in names])
+    met = cut(hosts.groupBy("hs", "hseat").cogroup(guests.groupBy("gs", "gseat")).applyInArrow(compare, "a long, b long, n long"), "links")
     degree = met.groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(met.select("a", "b"))
     named = (
-        points.select("point", "copies", F.col("label").alias("_l"), F.col("embedding").alias("_e"))
-        .join(degree, F.col("point") == F.col("a"), "left").join(roots, F.col("point") == F.col("node"), "left")
-        .select("_l", "_e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "point").alias("component_id"))
+        points.select(F.col("point").alias("_p"), "copies")
+        .join(degree, F.col("_p") == F.col("a"), "left").join(roots, F.col("_p") == F.col("node"), "left")
+        .select("_p", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "_p").alias("component_id"))
     )
-    linked = valid.join(named, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "n_links", "component_id")
+    linked = members.join(cut(named, "named"), F.col("point") == F.col("_p")).select("vec_id", "n_links", "component_id")
     bad = _rest(vectors)
     return linked.unionByName(bad).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
