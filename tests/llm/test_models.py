@@ -412,9 +412,71 @@ def test_labelers_agree_on_credentials():
     assert pii.masked("a password=0123456789abcdef0123 b", model) == "a password=[SECRET] b"
 
 
+@pytest.mark.parametrize("run", ["quality", "toxicity", "keep_clean", "find", "mask", "lm", "vectors"])
+def test_no_rows_give_no_rows(spark, run):
+    none = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    f = {
+        "quality": lambda: quality.score(none, quality.fit(none, labels)), "toxicity": lambda: toxicity.score(none, toxicity.fit(none, labels)),
+        "keep_clean": lambda: toxicity.keep_clean(none, toxicity.fit(none, labels)), "find": lambda: pii.find(none, pii.fit(none)),
+        "mask": lambda: pii.mask(none, pii.fit(none)), "lm": lambda: lm.score(none),
+        "vectors": lambda: embedding_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
+    }[run]
+    assert f().count() == 0
+
+
+def test_convolution_against_plain_loops():
+    net = quality.Net.new(np.random.default_rng(3))
+    net.bias = np.random.default_rng(4).normal(0, 0.1, quality.FILTERS).astype(np.float32)
+    for text in ("", "abc", "the quick brown fox " * 40, "é" * 300):
+        raw, step = text.encode(), quality.CHUNK - quality.OVERLAP
+        pooled = []
+        for at in range(0, max(1, len(raw) - quality.OVERLAP), step):
+            part = raw[at : at + quality.CHUNK]
+            last = max(1, (len(part) - quality.WIDTH) // quality.STRIDE + 1)
+            best = np.full(quality.FILTERS, -np.inf)
+            for w in range(last):
+                seen = [net.emb[part[i] if i < len(part) else 0] for i in range(w * quality.STRIDE, w * quality.STRIDE + quality.WIDTH)]
+                best = np.maximum(best, np.concatenate(seen) @ net.conv)
+            pooled.append(np.maximum(best + net.bias, 0))
+        h = np.array(pooled)
+        want = np.concatenate([h.mean(axis=0), h.max(axis=0), h.min(axis=0)]) @ net.out + net.const
+        assert net.logits([text])[0] == pytest.approx(float(want), abs=1e-4)
+
+
+def test_spans_are_base_and_likely_candidates(docs):
+    own = docs.withColumn("text", docs["text"])
+    model = pii.fit(own)
+    seen: Counter = Counter()
+    texts = {r["doc_id"]: r["text"] or "" for r in own.collect()}
+    for t in texts.values():
+        seen.update(c.key() for c in pii.candidates(t, plain_spans(t)))
+    assert {k: w.tolist() for k, w in pii.train(dict(seen)).weights.items()} == {k: w.tolist() for k, w in model.weights.items()}
+    for r in pii.find(own, model).collect():
+        t = texts[r["doc_id"]]
+        want = plain_spans(t)
+        for c in pii.candidates(t, want):
+            x = [1.0, *[float(v == 1) for v in c.votes], *[float(v == -1) for v in c.votes], *[s / 3 for s in c.shape]]
+            if 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights[c.kind], strict=True)))) >= 0.5:
+                want = [*want, (c.kind, c.start, c.end)]
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(want, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2])))
+
+
 # pipeline
 
 
+def test_pipeline_on_few_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name, some in (("none", []), ("odd", [r for r in ODD if r[0] != 8])):
+        d = tmp_path / name
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        pieces = P.run(spark, str(d))
+        assert (pieces.count() > 0) == (name == "odd")
+        assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(pieces.columns)
+
+
 def test_pipeline_stages(spark, sf_dir, docs):
     import corpus_pipeline as P
 
