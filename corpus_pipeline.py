@@ -1,4 +1,9 @@
-"""From documents to packed windows: toxicity, near-duplicates, personal data, mixing, packing."""
+"""From documents to packed windows: toxicity, near-duplicates, personal data, mixing, packing.
+
+Every stage takes and returns rows like those of ``documents``, the last one pieces. Null and empty texts, null ids and
+sources and repeated rows are ordinary rows in all of them, other columns go along unread, and an empty table gives
+an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,36 @@ from lodeframe.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones outside its held-out fold, doesn't reject."""
+    """Documents that the classifier, trained on the labelled ones outside its held-out fold, doesn't reject.
+
+    Null and empty texts hold nothing toxic and stay, as does every row where labels are missing or teach nothing.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates.
+
+    All texts without words are one class. Repeated rows are copies of each other; a class without ids keeps a row too.
+    """
     return simhash.dedup(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind; null and empty texts stay as they are."""
     return pii.mask(docs, pii.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A null source is one of its own. Texts without words weigh nothing but are taken at their source's rate, too.
+    """
     return mixing.take(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed windows."""
+    """The pieces of the packed windows; a null or empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
