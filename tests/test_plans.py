@@ -38,7 +38,7 @@ def test_twin(spark, sf_dir, con, name):
     assert sorted(names) == cols and got == want and got
 
 
-SLOW = {n for n in QUERIES if n.startswith("model_")} | {"stacking", "trial_search", "imputer_search", "chained_forest", "kmeans_sweep", "dtw_pairs"}
+SLOW = {n for n in QUERIES if n.startswith("model_")} | {"stacking", "stacking_classes", "resampling_benchmark", "trial_search", "imputer_search"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
