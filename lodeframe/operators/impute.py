@@ -25,8 +25,10 @@ def fit_fill(df: DataFrame, columns: list[str], how: str = "median") -> DataFram
 
 
 def apply_fill(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_v{i}")) for i, c in enumerate(columns)}
-    return df.crossJoin(F.broadcast(stats)).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    """``df`` with its gaps filled by the row that ``fit_fill`` gave, which is read once."""
+    row = stats.first()
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(row[f"_v{i}"]).cast("double")) for i, c in enumerate(columns)}
+    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def indicators(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -17,8 +17,8 @@ from .ranks import quantile_row
 
 def standardise(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, x): missing cells at the exact median, then population z-scores; a constant column is all 0."""
-    med = quantile_row(df, {f"_m{i}": c for i, c in enumerate(columns)}, [0.5])
-    filled = df.crossJoin(F.broadcast(med)).select(key, *[F.coalesce(F.col(c).cast("double"), F.col(f"_m{i}")[0]).alias(f"_f{i}") for i, c in enumerate(columns)])
+    med = quantile_row(df, {f"_m{i}": c for i, c in enumerate(columns)}, [0.5]).first()  # one row, read once: plans stay small
+    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(med[f"_m{i}"][0])).alias(f"_f{i}") for i, c in enumerate(columns)])
     n = range(len(columns))
     stats = filled.agg(*[F.avg(f"_f{i}").alias(f"_a{i}") for i in n], *[F.stddev_pop(f"_f{i}").alias(f"_s{i}") for i in n])
     z = [F.when(F.col(f"_s{i}") > 0, (F.col(f"_f{i}") - F.col(f"_a{i}")) / F.col(f"_s{i}")).otherwise(F.lit(0.0)) for i in n]
@@ -128,8 +128,8 @@ def mahalanobis(v: DataFrame, key: str, dims: int, share: float = 0.95) -> DataF
 def depth(v: DataFrame, key: str, dims: int) -> DataFrame:
     """The distance from the coordinate-wise median in the plane of the first two axes."""
     p = pca(v, key, dims, 2)
-    m = quantile_row(p, {"a": F.col("x")[0], "b": F.col("x")[1]}, [0.5])
-    return p.crossJoin(F.broadcast(m)).select(key, distance(F.col("x"), F.concat("a", "b")).alias("score"))
+    m = quantile_row(p, {"a": F.col("x")[0], "b": F.col("x")[1]}, [0.5]).first()
+    return p.select(key, distance(F.col("x"), F.array(*[F.lit(m[c][0]) for c in "ab"])).alias("score"))
 
 
 def cblof(v: DataFrame, key: str, k: int = 8, share: float = 0.9, ratio: float = 5.0, seed: int = 42) -> DataFrame:
@@ -203,8 +203,9 @@ def gather(scores: dict[str, DataFrame], key: str) -> DataFrame:
 
 def flags(scores: DataFrame, percent: float = 99.0) -> DataFrame:
     """Adds flag: the score is strictly above the method's own percentile."""
-    cut = quantile_row(scores, {"_c": "score"}, [percent / 100], "method")  # a row for each method
-    return scores.join(F.broadcast(cut), "method").withColumn("flag", (F.col("score") > F.col("_c")[0]).cast("int")).drop("_c")
+    cuts = quantile_row(scores, {"_c": "score"}, [percent / 100], "method").collect()  # a row for each method
+    cut = F.coalesce(*[F.when(F.col("method") == r["method"], F.lit(r["_c"][0])) for r in cuts], F.lit(None).cast("double"))
+    return scores.withColumn("flag", (F.col("score") > cut).cast("int"))
 
 
 def vote(flagged: DataFrame, key: str, least: int) -> DataFrame:

@@ -18,9 +18,9 @@ from .ranks import quantile_row
 def discretise(series: DataFrame, key: str, label: str, values: str, segments: int) -> DataFrame:
     """(key, label, seq): L, M or H for each segment mean, by the terciles of all means of the table."""
     means = series.select(key, label, paa(F.col(values), segments).alias("m")).where("m is not null")
-    cuts = quantile_row(means.select(F.explode("m").alias("v")), {"q": "v"}, [100 / 3 / 100, 200 / 3 / 100])
-    symbol = lambda v: F.when(v < F.col("q")[0], "L").when(v < F.col("q")[1], "M").otherwise("H")
-    return means.crossJoin(F.broadcast(cuts)).select(key, label, F.array_join(F.transform("m", symbol), "").alias("seq"))
+    low, high = quantile_row(means.select(F.explode("m").alias("v")), {"q": "v"}, [100 / 3 / 100, 200 / 3 / 100]).first()["q"]
+    symbol = lambda v: F.when(v < F.lit(low), "L").when(v < F.lit(high), "M").otherwise("H")
+    return means.select(key, label, F.array_join(F.transform("m", symbol), "").alias("seq"))
 
 
 def _support(found: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
