@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -100,10 +101,12 @@ class Encoder:
         return out
 
     def _codes(self, pieces: list) -> np.ndarray:
-        new = set(pieces).difference(self.code)
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        got = np.fromiter(map(self.code.get, pieces, repeat(-2)), np.int64, len(pieces))
+        if len(miss := np.flatnonzero(got == -2)):  # looked up once where known; only what is new is gathered and asked again
+            new = [pieces[i] for i in miss.tolist()]
+            self._learn(set(new))
+            got[miss] = np.fromiter(map(self.code.__getitem__, new), np.int64, len(new))
+        return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, uint32."""
