@@ -2,7 +2,7 @@
 
 Every stage takes and returns rows like those of ``documents``, the last one pieces. Null and empty texts, null ids and
 sources and repeated rows are ordinary rows in all of them, other columns go along unread, and an empty table gives
-an empty one.
+an empty one. Stages bound the session's Arrow batches, which executors and their Python workers hold several times over.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import mixing, packing, pii, simhash, toxicity
-from lodeframe.llm.common import cut, table
+from lodeframe.llm.common import cut, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold nothing toxic and stay, as does every row where labels are missing or teach nothing.
     """
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,11 +28,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     All texts without words are one class. Repeated rows are copies of each other; a class without ids keeps a row too.
     """
+    small_batches(spark)
     return simhash.dedup(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; null and empty texts stay as they are."""
+    small_batches(spark)
     return pii.mask(docs, pii.fit(docs))
 
 
@@ -40,11 +43,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is one of its own. Texts without words weigh nothing but are taken at their source's rate, too.
     """
+    small_batches(spark)
     return mixing.take(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed windows; a null or empty text is its end id alone."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts
-from .tokens import encoder
+from .tokens import encoder, forget
 
 WINDOW, END, GROUP = 1024, 0, 4096
 
@@ -29,18 +29,22 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
-                texts = [t or "" for t in b.column(1)[at : at + 256].to_pylist()]
-                for doc, ids in zip(b.column(0)[at : at + 256].to_pylist(), enc.encode(texts), strict=True):
-                    raw, n = np.append(ids, np.uint32(end)).astype("<u4").tobytes(), len(ids) + 1
-                    whole = zlib.crc32(raw)
-                    for s in range(0, n, window):
-                        e = min(n, s + window)
-                        for c, v in zip(out, (doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n, whole), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        try:
+            for b in batches:
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for at in range(0, b.num_rows, 256):  # few texts at a time as Python strings
+                    texts = [t or "" for t in b.column(1)[at : at + 256].to_pylist()]
+                    for doc, ids in zip(b.column(0)[at : at + 256].to_pylist(), enc.encode(texts), strict=True):
+                        raw, n = np.append(ids, np.uint32(end)).astype("<u4").tobytes(), len(ids) + 1
+                        whole = zlib.crc32(raw)
+                        for s in range(0, n, window):
+                            e = min(n, s + window)
+                            for c, v in zip(out, (doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n, whole), strict=True):
+                                c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        finally:
+            del enc
+            forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids long")
 

@@ -7,6 +7,7 @@ tokenizers that drop white space ("bare") at any ASCII white space. Others ("who
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -15,6 +16,7 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks kept in a worker before it starts afresh, characters encoded at a time, new chunks in one call.
 CHUNKS, STEP, JOIN = 500_000, 1_000_000, 128
@@ -152,5 +154,15 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, chunks: int = CHUNKS) -> Encoder:
-    """The worker's encoder for a file; kept as long as the worker lives."""
+    """The worker's encoder for a file; kept until ``forget``, or as long as the worker lives."""
     return Encoder(path, chunks)
+
+
+def forget() -> None:
+    """Drops the worker's encoders and hands free memory back: a worker that lives on in other stages has no use for them."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass

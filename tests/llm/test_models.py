@@ -496,6 +496,56 @@ def test_pipeline_stages(spark, sf_dir, docs):
     assert P.run(spark, sf_dir).count() > 0
 
 
+def test_pipeline_hands_workers_small_batches(spark, sf_dir, docs):
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lodeframe.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    long = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("word "), 1000).alias("text"))
+    before = spark.conf.get(common.BATCH)
+    try:
+        for name, f in P.STAGES:
+            spark.conf.set(common.BATCH, "64m")
+            f(spark, docs.limit(0), sf_dir)
+            got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) > 20_000_000 and max(got) < 4_000_000, name
+        spark.conf.set(common.BATCH, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1m"  # smaller ones stay
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
+def test_packing_leaves_no_encoder_in_its_worker(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from lodeframe.llm import packing, tokens
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = packing.pieces(Docs(), public_tokenizers.path("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], ["doc_id", "text"])
+    tokens.forget()
+    assert [b.num_rows for b in run(iter([batch, batch]))] == [2, 2]
+    assert tokens.encoder.cache_info().currsize == 0
+    part = run(iter([batch, batch]))
+    next(part)
+    part.close()  # a task that ends early
+    assert tokens.encoder.cache_info().currsize == 0
+
+
 def test_words_are_hashed_in_order():
     import pyarrow as pa
     import xxhash
