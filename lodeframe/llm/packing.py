@@ -24,8 +24,11 @@ WINDOW, END, GROUP = 1024, 0, 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The pieces of every row of ``docs``: full windows from the start and a rest, with a crc32 of their ids; ids is that of the document's."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, keep: bool = True) -> DataFrame:
+    """The pieces of every row of ``docs``: full windows from the start and a rest, with a crc32 of their ids; ids is that of the document's.
+
+    Unless ``keep``, a worker drops its encoder at the end of each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -44,7 +47,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
         finally:
             del enc
-            forget()
+            if not keep:
+                forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids long")
 
@@ -97,12 +101,12 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
     return which, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, group: int = GROUP, keep: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of every row.
 
     A null text is empty and has one piece, its end id. Repeated rows and null ids are packed like any other row.
     An empty table gives an empty result. sequence_id is group * 2^32 + number in the group; ties in length go by
-    doc_id and start, so reruns agree.
+    doc_id and start, so reruns agree. ``keep`` is that of ``pieces``.
     """
     n = parts(docs.count(), group)
 
@@ -111,5 +115,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         which, offset = best_fit(rows["length"].tolist(), window)
         return rows.assign(sequence_id=rows["_g"] * 2**32 + np.array(which, dtype=np.int64), offset=np.array(offset, dtype=np.int64)).drop(columns="_g")
 
-    dealt = pieces(docs, tokenizer, window, end).withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids", "start"), F.lit(n)).cast("long")).drop("ids")
+    dealt = pieces(docs, tokenizer, window, end, keep).withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids", "start"), F.lit(n)).cast("long")).drop("ids")
     return dealt.groupBy("_g").applyInPandas(run, PIECE + ", sequence_id long, offset long")

@@ -535,7 +535,7 @@ def test_packing_leaves_no_encoder_in_its_worker(spark):
         def mapInArrow(self, run, _):
             return run
 
-    run = packing.pieces(Docs(), public_tokenizers.path("byte_bpe_50k.json"))
+    run = packing.pieces(Docs(), public_tokenizers.path("byte_bpe_50k.json"), keep=False)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], ["doc_id", "text"])
     tokens.forget()
     assert [b.num_rows for b in run(iter([batch, batch]))] == [2, 2]
